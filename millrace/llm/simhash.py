@@ -36,7 +36,7 @@ from millrace.llm.common import chunks, flat, lowered, materialise, word_bounds
 
 SEED = 42
 BUCKET = 4096
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ROUNDS = 60
 
 

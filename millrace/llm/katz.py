@@ -27,19 +27,22 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, chunks, flat, lowered, materialise, mix64, word_bounds
+from millrace.llm.common import Roller, arrow_rows, chunks, flat, lowered, materialise, mix64, word_bounds
 
 VOCABULARY = 1 << 16
 #: Good-Turing discounts apply to counts up to this.
 CUTOFF = 5
 #: Occurrences of a partition of the n-gram table.
-PARTITION = 4_000_000
-BLOCK = 8 << 20
-CHUNK = 1 << 20
+PARTITION = 6_000_000
+LEAST_PARTITIONS = 16
+#: Tokens that a task packs at a time, and bytes that it hashes at a time.
+BLOCK = 1_000_000
+CHUNK = 1 << 18
 
 _words = Roller(101)
 _BITS = np.uint64(17)
@@ -74,10 +77,10 @@ def _unigrams(batches):
                 w, n = np.unique(hash_words(raw, s, e), return_counts=True)
                 held.append((w, n))
                 rows += len(w)
-        if rows > 4_000_000:
+        if rows > 1_000_000:
             held = [summed()]
             rows = len(held[0][0])
-            if rows > 2_000_000:
+            if rows > 500_000:
                 yield from batch_of(*held[0])
                 held, rows = [], 0
     if held:
@@ -146,24 +149,20 @@ def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
         v: Vocabulary = vocab.value
         log_c = np.log10(v.counts + 1.0)
 
-        def block(texts, ids, valid, held):
-            raw, off = texts
-            raw = lowered(raw)
-            n_docs = len(off) - 1
-            s, e, owner = word_bounds(raw, off)
-            h = hash_words(raw, s, e)
+        def block(h, n_words, text_hash, ids, valid, held):
+            n_docs = len(n_words)
+            owner = np.repeat(np.arange(n_docs), n_words)
             cls = v.classes(h)
-            n_words = np.bincount(owner, minlength=n_docs)
             # tokens of document d stand at first[d] .. first[d] + n_words[d], the end mark last
             first = np.cumsum(n_words + 1) - (n_words + 1)
-            tok = np.full(len(s) + n_docs, v.end, np.int64)
-            tok[np.arange(len(s)) + owner] = cls
+            tok = np.full(len(h) + n_docs, v.end, np.int64)
+            tok[np.arange(len(h)) + owner] = cls
             ctx = np.empty_like(tok)
             ctx[1:] = tok[:-1]
             ctx[first] = v.start
             doc = np.repeat(np.arange(n_docs), n_words + 1)
             rows = np.array([int.from_bytes(hashlib.blake2b(b"%d|" % i if ok else b"|", digest_size=8).digest(), "little") for i, ok in zip(ids.tolist(), valid.tolist(), strict=True)], np.uint64)
-            rows = mix64(rows ^ _words.ranges(_words.prefix(raw), off[:-1], off[1:]))
+            rows = mix64(rows ^ text_hash)
             common = tok != v.rare
             base = np.bincount(doc[common], log_c[tok[common]], n_docs)
             known = np.bincount(doc[common], (v.counts[tok[common]] > 0).astype(float), n_docs).astype(np.int64)
@@ -194,29 +193,24 @@ def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[i : i + 16], strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-        held = []
-
-        def flush():
-            raws, sizes, ids, valid, out = zip(*held, strict=True)
-            off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            yield from block((np.concatenate(raws), off), np.concatenate(ids), np.concatenate(valid), np.concatenate(out))
-
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            raw, off = flat(batch.column("text"))
+            raw_all, off_all = flat(batch.column("text"))
             col = batch.column("doc_id")
             valid = np.asarray(col.is_valid())
             ids = np.asarray(col.fill_null(0), np.int64)
             out = np.asarray(batch.column("held_out"))
-            for i, j in chunks(off, BLOCK // 4):
-                held.append((raw[off[i] : off[j]], np.diff(off[i : j + 1]), ids[i:j], valid[i:j], out[i:j]))
-                size += int(off[j] - off[i])
-                if size >= BLOCK or sum(len(x[2]) for x in held) >= 60_000:
-                    yield from flush()
-                    held.clear()
-                    size = 0
+            for i, j in chunks(off_all, CHUNK):
+                raw, off = lowered(raw_all[off_all[i] : off_all[j]]), off_all[i : j + 1] - off_all[i]
+                s, e, owner = word_bounds(raw, off)
+                p = _words.prefix(raw)
+                held.append((_words.ranges(p, s, e), np.bincount(owner, minlength=j - i), _words.ranges(p, off[:-1], off[1:]), ids[i:j], valid[i:j], out[i:j]))
+                size += len(s) + j - i
+                if size >= BLOCK:
+                    yield from block(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
         if held:
-            yield from flush()
+            yield from block(*map(np.concatenate, zip(*held, strict=True)))
 
     return deal
 
@@ -360,16 +354,26 @@ def score_texts(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
 
     One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    arrow_rows(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim = slim.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     train = slim.where(~F.col("held_out"))
     unigrams = materialise(train.select("text").mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "katz-unigrams")
     total, kinds = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_train, n_all = slim.agg(F.count(F.when(~F.col("held_out"), 1)), F.count("*")).first()
-    top = unigrams.orderBy(F.col("n").desc(), "word").limit(min(vocabulary, (1 << 17) - 3)).toPandas()
+    size = min(vocabulary, (1 << 17) - 3)
+    # The count that the last word of the vocabulary has, from the table of distinct counts: tasks then send few words.
+    least, left = 1, size
+    for r in unigrams.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).toLocalIterator():
+        least, left = r["n"], left - r["k"]
+        if left <= 0:
+            break
+    sure = unigrams.where(F.col("n") > least).toPandas()
+    ties = unigrams.where(F.col("n") == least).orderBy("word").limit(size - len(sure)).toPandas()
+    top = pd.concat([sure, ties])
     v = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, kinds, n_train)
     tokens = (total + n_train) * max(1, n_all) // max(1, n_train) + n_all
-    parts = max(4, -(-tokens // PARTITION))
+    parts = max(LEAST_PARTITIONS, -(-tokens // PARTITION))
     rare_parts = max(1, parts // 6)
     hot = v.counts > v.n / (8 * parts)  # 8 * parts contexts at most
     shared = spark.sparkContext.broadcast(v)

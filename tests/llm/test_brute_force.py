@@ -61,8 +61,7 @@ def test_suffix_dedup_edges(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute_repeats(rows, 100)
 
 
-def test_suffix_dedup_shuffled_joins(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_SPANS", -1)
+def test_suffix_dedup_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 7)
     rows = edge_texts()
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), length=100).collect()

@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, chunks, flat, materialise
+from millrace.llm.common import Roller, arrow_rows, chunks, flat, materialise
 
 LENGTH = 400
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SEEDS = (11, 23, 37)
-#: Lists of positions with this many entries in all are broadcast (under 20 MB); longer ones are joined by a shuffle.
-BROADCAST_SPANS = 200_000
 #: Open suffixes of a bucket (about 600 bytes each).
-BUCKET = 20_000
+BUCKET = 10_000
 
 _rollers: dict[int, Roller] = {}
 
@@ -176,16 +174,45 @@ def _window_hashes(text: bytes, before: int, length: int) -> tuple[np.ndarray, n
     return tuple(r.ranges(r.prefix(raw), s, s + length) ^ tag for r in (roller(SEEDS[1]), roller(SEEDS[2])))
 
 
-_FOUND = "gram long, c0 long, c1 long, at int, w0 long, w1 long, copies long, sure boolean"
+_FOUND = "gram long, c0 long, c1 long, a int, b int, w0 long, w1 long, copies long, sure boolean"
+_FOUND_ARROW = pa.schema([("gram", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("w0", pa.int64()), ("w1", pa.int64()), ("copies", pa.int64()), ("sure", pa.bool_())])
 
 
 def _sorted_buckets(length: int):
     """Sorts a bucket's suffixes and compares windows inside groups that agree on the gram.
 
-    Repeated windows of groups that lie inside the bucket are emitted as sure; the windows of the first and
-    last group, which may go on in the next bucket, with their hashes for the comparison across boundaries."""
+    Each context gets one row (sure) with its first and last window that repeats in the bucket. The first and
+    last group may go on in the next bucket: their windows that are single here, and one row for each that
+    repeats (a = -1), come with hashes for the comparison across boundaries."""
     gram = length // 2
-    out = pa.schema([("gram", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("at", pa.int32()), ("w0", pa.int64()), ("w1", pa.int64()), ("copies", pa.int64()), ("sure", pa.bool_())])
+
+    def compared(at, suffix, before, info, border):
+        g, c0, c1, copies = info
+        hashes = [_window_hashes(before[i] + suffix[i], len(before[i]), length) for i in at]
+        n = np.array([len(x[0]) for x in hashes])
+        who = np.repeat(at, n)
+        w0, w1 = (np.concatenate([x[y] for x in hashes]) for y in (0, 1))
+        spot = np.concatenate([np.arange(x) for x in n])
+        by = np.lexsort((w1, w0))
+        new = np.ones(len(by), bool)
+        new[1:] = (w0[by][1:] != w0[by][:-1]) | (w1[by][1:] != w1[by][:-1])
+        start = np.flatnonzero(new)
+        total = np.add.reduceat(copies[who[by]], start)
+        again = np.zeros(len(who), bool)
+        again[by] = np.repeat(total > 1, np.diff([*start, len(by)]))
+        if again.any():
+            w, many = np.unique(who[again], return_counts=True)
+            x = spot[again]  # ascending within a context, whose windows stand together
+            place = np.argsort(who[again], kind="stable")
+            first = np.cumsum(many) - many
+            low, high = x[place][first], x[place][first + many - 1]
+            none = np.zeros(len(w), np.int64)
+            yield g[w], c0[w], c1[w], low, high, none, none, copies[w], np.ones(len(w), bool)
+        if border:
+            one = by[start]
+            w = who[one]
+            mark = np.where(total > 1, -1, spot[one])
+            yield g[w], c0[w], c1[w], mark, mark, w0[one].view(np.int64), w1[one].view(np.int64), total, np.zeros(len(w), bool)
 
     def run(batches):
         suffix, before, rest = [], [], []
@@ -195,7 +222,7 @@ def _sorted_buckets(length: int):
             rest.append([np.asarray(batch.column(c)) for c in ("gram", "c0", "c1", "copies")])
         if not suffix:
             return
-        g, c0, c1, copies = map(np.concatenate, zip(*rest, strict=True))
+        info = tuple(map(np.concatenate, zip(*rest, strict=True)))
         order = multikey_order(suffix)
         lead = [suffix[i][:gram] for i in order]
         edges = np.array([0, *[i for i in range(1, len(lead)) if lead[i] != lead[i - 1]], len(lead)])
@@ -204,27 +231,9 @@ def _sorted_buckets(length: int):
             border = k == 0 or k == len(edges) - 2
             if len(at) == 1 and not border:
                 continue
-            for lo in range(0, 1 if not border else len(at), 2000 if border else 1):
-                some = at[lo : lo + 2000] if border else at
-                hashes = [_window_hashes(before[i] + suffix[i], len(before[i]), length) for i in some]
-                n = np.array([len(x[0]) for x in hashes])
-                who = np.repeat(some, n)
-                w0, w1 = (np.concatenate([x[y] for x in hashes]) for y in (0, 1))
-                spot = np.concatenate([np.arange(x) for x in n])
-                if border:
-                    keep = np.ones(len(who), bool)
-                else:
-                    by = np.lexsort((w1, w0))
-                    new = np.ones(len(by), bool)
-                    new[1:] = (w0[by][1:] != w0[by][:-1]) | (w1[by][1:] != w1[by][:-1])
-                    start = np.flatnonzero(new)
-                    total = np.add.reduceat(copies[who[by]], start)
-                    keep = np.zeros(len(who), bool)
-                    keep[by] = np.repeat(total > 1, np.diff([*start, len(by)]))
-                w = who[keep]
-                cols = [g[w], c0[w], c1[w], spot[keep].astype(np.int32), w0[keep].view(np.int64), w1[keep].view(np.int64), copies[w], np.full(len(w), not border)]
-                for i in range(0, len(w), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], schema=out)
+            for cols in compared(at, suffix, before, info, border):
+                for i in range(0, len(cols[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], f.type) for x, f in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
     return run
 
@@ -276,10 +285,8 @@ def _keyed():
     return run
 
 
-def _joined(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """Texts with the list of their key: by broadcast if all lists together are short, else by a shuffle of both."""
-    if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_SPANS:
-        return texts.join(F.broadcast(lists), "row_key", how)
+def _joined(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Texts with the list of their key; the lists may be long, so both sides are shuffled, at every size."""
     return texts.join(lists.hint("merge"), "row_key", how)
 
 
@@ -294,16 +301,17 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     spots = materialise(spots, "suffix-spots")
     texts = docs.mapInArrow(_keyed(), "doc_id long, text string, row_key long")
     # Rows repeated in full come more than once here; their contexts have copies, so counts stay right.
-    holders = _joined(texts, spots, "spots", "inner").select("text", "spots")
+    holders = _joined(texts, spots, "inner").select("text", "spots")
     opened = materialise(holders.mapInArrow(_opened(length), "suffix binary, before binary, gram long, c0 long, c1 long, copies long"), "suffix-open")
     buckets = max(1, -(-opened.count() // BUCKET))
     dealt = opened.repartitionByRange(buckets, F.substring("suffix", 1, 32), F.col("c0"))
     windows = materialise(dealt.mapInArrow(_sorted_buckets(length), _FOUND), "suffix-windows")
     border = windows.where("not sure")
-    across = border.groupBy("gram", "w0", "w1").agg(F.sum("copies").alias("n")).where("n > 1").select("gram", "w0", "w1")
-    hits = windows.where("sure").select("gram", "c0", "c1", "at").unionAll(border.join(across, ["gram", "w0", "w1"], "left_semi").select("gram", "c0", "c1", "at"))
+    across = border.groupBy("gram", "w0", "w1").agg(F.sum("copies").alias("n"), F.count("*").alias("k")).where("n > 1 and k > 1").select("gram", "w0", "w1")
+    hits = windows.where("sure").select("gram", "c0", "c1", "a", "b")
+    hits = hits.unionAll(border.where("a >= 0").join(across, ["gram", "w0", "w1"], "left_semi").select("gram", "c0", "c1", "a", "b"))
     # The windows of one context start at most half a length apart, so those that repeat overlap: one span covers them.
-    hits = hits.groupBy("gram", "c0", "c1").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    hits = hits.groupBy("gram", "c0", "c1").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     # A context with two copies is repeated as a whole; one with one copy where its windows are.
     whole = contexts.where("copies > 1").select("gram", "c0", "c1", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     single = hits.join(contexts.where("copies = 1").select("gram", "c0", "c1"), ["gram", "c0", "c1"], "left_semi")
@@ -316,7 +324,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    arrow_rows(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = materialise(repeated_spans(slim, length=length), "suffix-spans")
     texts = slim.mapInArrow(_keyed(), "doc_id long, text string, row_key long")
-    return _joined(texts, spans, "spans", "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(texts, spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

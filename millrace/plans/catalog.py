@@ -1,9 +1,419 @@
-"""Registered queries over the driver's tables, each with SQL that must give the same rows."""
+"""Registered queries over the driver's tables, each with SQL that must give the same rows.
 
+``documents`` stand for a corpus (lang as task), ``labels`` for reviews (approved: quality 1 and not
+toxic), ``benchmark`` for a gold set, and adjacent user and assistant turns for prompt and reference."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import metrics, rewards
+from millrace.functions import text as T
+from millrace.operators import convo, curriculum, evals, packing, prefs, quality, retrieval, review, sampling, templates
+from millrace.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    return convo.adjacent_pairs(table(spark, d, "conversations"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair with the reference of the next pair as a synthetic output, and its own without commas as another."""
+    p = pairs(spark, d)
+    w = Window.partitionBy(F.pmod("pair_id", F.lit(16))).orderBy("pair_id")
+    return p.withColumns({"candidate": F.coalesce(F.lead("reference").over(w), F.lit("")), "baseline": F.replace("reference", F.lit(","), F.lit("")), "task": F.when(F.col("pair_id") % 2 == 0, "c2m").otherwise("m2c")})
+
+
+WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _nows(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '{WS}+', '', 'g')"
+
+
+def _core(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '[^\p{{L}}\p{{N}}_]', '', 'g')"
+
+
+def _audit(x: str) -> str:
+    return rf"lower(regexp_replace(coalesce({x}, ''), '[^\x{{3400}}-\x{{9fff}}A-Za-z0-9]', '', 'g'))"
+
+
+PAIRS = """p AS (SELECT conv_id * 1000 + turn AS pair_id, conv_id, text AS prompt, reference FROM (
+  SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations)
+  WHERE role = 'user' AND r2 = 'assistant')"""
+CANDIDATES = (
+    PAIRS
+    + """, c AS (SELECT *, coalesce(lead(reference) OVER (PARTITION BY pair_id % 16 ORDER BY pair_id), '') AS candidate,
+  replace(reference, ',', '') AS baseline, CASE WHEN pair_id % 2 = 0 THEN 'c2m' ELSE 'm2c' END AS task FROM p)"""
+)
+
+
+def _f1(name: str, out: str, ref: str) -> str:
+    """CTEs: multiset F1 of characters per pair as <name>(pair_id, f1)."""
+    side = lambda a, c: f"{name}_{a} AS (SELECT pair_id, e, count(*) AS n FROM (SELECT pair_id, unnest(string_split({_nows(c)}, '')) AS e FROM c WHERE {_nows(c)} <> '') GROUP BY ALL)"
+    return f"""{side("o", out)}, {side("r", ref)},
+  {name} AS (SELECT c.pair_id, CASE WHEN coalesce(m, 0) > 0 THEN 2 * m / (length({_nows(out)}) + length({_nows(ref)}))::DOUBLE ELSE 0.0 END AS f1
+    FROM c LEFT JOIN (SELECT o.pair_id, sum(least(o.n, r.n)) AS m FROM {name}_o o JOIN {name}_r r USING (pair_id, e) GROUP BY 1) USING (pair_id))"""
+
+
+@query(f"""SELECT lang, CASE WHEN t = '' THEN 'missing_text' WHEN length(t) < 200 THEN 'input_too_short' WHEN length(t) > 5000 THEN 'input_too_long' ELSE 'accepted' END AS reason, count(*) AS n
+FROM (SELECT lang, {_strip("coalesce(text, '')")} AS t FROM documents) GROUP BY ALL""")
+def clean_reason_counts(spark, d):
+    t = T.strip(F.coalesce(F.col("text"), F.lit("")))
+    rows = table(spark, d, "documents").select("lang", t.alias("t"))
+    n = F.length("t")
+    reason = F.when(F.col("t") == "", "missing_text").when(n < 200, "input_too_short").when(n > 5000, "input_too_long").otherwise("accepted")
+    return rows.groupBy("lang", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PAIRS}, a AS (SELECT pair_id, prompt, reference, {_audit("prompt")} AS x, {_audit("reference")} AS y FROM p),
+f AS (SELECT pair_id, unnest([
+  CASE WHEN x <> '' AND x = y THEN 'identical_input_output' END,
+  CASE WHEN length(y) < 2 THEN 'output_too_short' END,
+  CASE WHEN length(x) >= 8 AND (length(y) / length(x)::DOUBLE < 0.2 OR length(y) / length(x)::DOUBLE > 4) THEN 'extreme_length_ratio' END,
+  CASE WHEN len(regexp_extract_all(reference, '[\\x{{3400}}-\\x{{9fff}}]')) < 2 THEN 'low_cjk_output' END,
+  CASE WHEN len(regexp_extract_all(prompt, '\\p{{Nd}}+')) > 0 AND NOT list_has_any(regexp_extract_all(prompt, '\\p{{Nd}}+'), regexp_extract_all(reference, '\\p{{Nd}}+')) THEN 'number_or_date_mismatch' END]) AS flag FROM a)
+SELECT flag, count(*) AS n FROM f WHERE flag IS NOT NULL GROUP BY flag""")
+def audit_flags_long(spark, d):
+    p = pairs(spark, d).withColumn("flags", quality.audit_flags(F.lit("c2m"), F.col("prompt"), F.col("reference")))
+    return review.each_flag(p, "flags")
+
+
+@query("""WITH d AS (SELECT lang, (length(text) < 200 OR length(text) > 5000) AS bad FROM documents)
+SELECT lang, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS flagged, round(count(CASE WHEN bad THEN 1 END) / count(*)::DOUBLE, 6) AS rate FROM d GROUP BY GROUPING SETS ((), (lang))""")
+def audit_flag_rates(spark, d):
+    n = F.length("text")
+    flags = F.array_compact(F.array(F.when(n < 200, F.lit("short")), F.when(n > 5000, F.lit("long"))))
+    return quality.flag_rates(table(spark, d, "documents").select("lang", flags.alias("flags")), "lang", "flags")
+
+
+@query(f"""WITH {PAIRS}, k AS (SELECT pair_id, {_audit("prompt")} AS a, {_audit("reference")} AS b FROM p),
+g AS (SELECT a, min(b) <> max(b) AS conflicting FROM k GROUP BY a) SELECT pair_id, conflicting FROM k JOIN g USING (a)""")
+def conflicting_prompts(spark, d):
+    return quality.conflicting(pairs(spark, d), "prompt", "reference").select("pair_id", "conflicting")
+
+
+@query("""SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+def exact_dedup_first(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("h"))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"))  # texts never meet in one task
+    return rows.join(first, ["h", "doc_id"], "left_semi").select("doc_id", "text")
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || lang || ':' || doc_id)) AS rn FROM documents)
+WHERE rn <= CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 1000000 WHEN 'de' THEN 20 ELSE 0 END""")
+def hash_sample_per_task(spark, d):
+    key = T.hash_key("42", F.col("lang"), F.col("doc_id").cast("string"))
+    return sampling.ranked_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", key, {"en": 50, "fr": -1, "de": 20})
+
+
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || source || ':' || doc_id)) AS rn FROM documents) WHERE rn <= 3""")
+def capped_order_kept(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    return sampling.capped(rows, "source", 3, "7", F.col("source"), F.col("doc_id").cast("string")).orderBy("doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id, lang, source, length(text) AS len, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('9:' || lang || ':' || source || ':' || doc_id), doc_id) AS t FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY t, sha256('9:' || lang || ':' || source), source) AS pick FROM a WHERE len >= 100)
+SELECT doc_id, lang, source, pick FROM b WHERE pick <= 25""")
+def source_round_robin(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", F.length("text").alias("len"))
+    return sampling.round_robin(rows, "lang", "source", "doc_id", 25, "9", F.col("len") >= 100).select("doc_id", "lang", "source", F.col("pick").cast("long").alias("pick"))
+
+
+@query("""WITH f AS (SELECT doc_id, lang, length(text) > 3000 AS a, length(text) % 2 = 0 AS b FROM documents),
+x AS (SELECT doc_id, lang, 'long' AS picked_for FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:long:' || doc_id), doc_id) AS rn FROM f WHERE a) WHERE rn <= 10),
+y AS (SELECT doc_id, lang, 'even' AS picked_for FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:even:' || doc_id), doc_id) AS rn FROM f WHERE b AND doc_id NOT IN (SELECT doc_id FROM x)) WHERE rn <= 10)
+SELECT * FROM x UNION ALL SELECT * FROM y""")
+def stratified_no_replacement(spark, d):
+    n = F.length("text")
+    flags = F.array_compact(F.array(F.when(n > 3000, F.lit("long")), F.when(n % 2 == 0, F.lit("even"))))
+    rows = table(spark, d, "documents").select("doc_id", "lang", flags.alias("flags"))
+    return sampling.stratified(rows, "lang", "flags", "doc_id", ["long", "even"], 10, "5").select("doc_id", "lang", "picked_for")
+
+
+_POINT = "(('0x' || substr(sha256('42:' || source), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
+@query(f"""SELECT doc_id, source, CASE WHEN {_POINT} < 0.6 THEN 'train' WHEN {_POINT} < 0.8 THEN 'validation' ELSE 'test' END AS split FROM documents""")
+def source_hash_split(spark, d):
+    return sampling.source_split(table(spark, d, "documents").select("doc_id", "source"), "source", (0.6, 0.2, 0.2), "42").select("doc_id", "source", "split")
+
+
+@query(f"""WITH s AS (SELECT source, text, CASE WHEN {_POINT} < 0.6 THEN 'train' ELSE 'test' END AS split FROM documents)
+SELECT 'source' AS key_kind, count(*) AS overlaps FROM (SELECT source FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'signature', count(*) FROM (SELECT {_core("text")} AS g FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)""")
+def split_isolation_report(spark, d):
+    rows = table(spark, d, "documents").select("source", F.sha2(T.content_core(F.col("text")), 256).alias("signature"))
+    split = sampling.source_split(rows, "source", (0.6, 0.0, 0.4), "42")
+    return curriculum.isolation_report(split, "split", ["source", "signature"])
+
+
+@query("""WITH f AS (SELECT conv_id, arg_min(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY 1),
+g AS (SELECT DISTINCT prompt FROM f), n AS (SELECT count(*) AS n FROM g),
+r AS (SELECT prompt, row_number() OVER (ORDER BY sha256('11:' || prompt), prompt) AS rn FROM g)
+SELECT conv_id, CASE WHEN rn <= greatest(1, least(n - 1, round_even(n * 0.1, 0))) THEN 'validation' ELSE 'train' END AS split FROM f JOIN r USING (prompt), n""")
+def prompt_group_split(spark, d):
+    firsts = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
+    return sampling.group_split(firsts, F.col("prompt"), 0.1, "11").select("conv_id", "split")
+
+
+def _reviews(spark, d):
+    ok = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(ok, "approved").otherwise("rejected").alias("review_status"), F.when(ok & (F.col("doc_id") % 2 == 0), F.lit("fixed")).otherwise(F.lit("")).alias("approved_reference"))
+
+
+@query("""SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN NOT (quality = 1 AND toxic = 0) THEN 'removed' WHEN d.doc_id % 2 = 0 THEN 'corrected' ELSE 'confirmed' END AS review_action,
+CASE WHEN l.doc_id IS NOT NULL AND quality = 1 AND toxic = 0 AND d.doc_id % 2 = 0 THEN 'fixed' ELSE md5(d.text) END AS answer FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def review_apply(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), convo.from_qa(F.lit("q"), F.md5("text")).alias("conversations"))
+    return review.apply_reviews(docs, _reviews(spark, d)).select("id", "review_action", convo.last_of(F.col("conversations"), convo.ASSISTANT).alias("answer"))
+
+
+@query("""SELECT lang, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' ELSE 'rejected' END AS review_status, count(*) AS n, count(DISTINCT source) AS sources FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""")
+def review_summary(spark, d):
+    j = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source").join(_reviews(spark, d), "id")
+    return j.groupBy("lang", "review_status").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
+@query("""SELECT doc_id AS id FROM documents WHERE length(text) > 3000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)""")
+def finalize_removed(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("len"))
+    return review.finalized(docs, docs.where("len > 3000"), _reviews(spark, d).where("review_status = 'approved'"))[1].select("id")
+
+
+@query(f"""SELECT doc_id FROM documents WHERE {_core("text")} IN (SELECT {_core("text")} FROM benchmark)""")
+def gold_leakage(spark, d):
+    return curriculum.leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), "text", "text").select("doc_id")
+
+
+@query(f"""WITH {CANDIDATES}, {_f1("f", "candidate", "reference")} SELECT pair_id, f1 AS char_f1 FROM f""")
+def char_f1_pairs(spark, d):
+    return metrics.char_scores(candidates(spark, d), "pair_id", "candidate", "reference").select("pair_id", "char_f1")
+
+
+@query(f"""WITH {CANDIDATES}, {_f1("f", "candidate", "reference")} SELECT task, count(*) AS n, round(avg(f1), 6) AS char_f1 FROM c JOIN f USING (pair_id) GROUP BY GROUPING SETS ((), (task))""")
+def eval_by_task(spark, d):
+    c = candidates(spark, d)
+    return evals.task_means(c.select("pair_id", "task").join(metrics.char_scores(c, "pair_id", "candidate", "reference"), "pair_id"), "task", "char_f1")
+
+
+@query(f"""WITH {CANDIDATES}, {_f1("f", "candidate", "reference")}, {_f1("g", "baseline", "reference")},
+o AS (SELECT task, f.f1 - g.f1 AS delta FROM c JOIN f USING (pair_id) JOIN g USING (pair_id))
+SELECT task, count(*) AS n, count(CASE WHEN delta > 1e-12 THEN 1 END) AS wins, count(CASE WHEN abs(delta) <= 1e-12 THEN 1 END) AS ties, count(CASE WHEN delta < -1e-12 THEN 1 END) AS losses, round(avg(delta), 6) AS mean_delta FROM o GROUP BY GROUPING SETS ((), (task))""")
+def ab_compare(spark, d):
+    c = candidates(spark, d)
+    score = lambda x, name: metrics.char_scores(c, "pair_id", x, "reference").select("pair_id", F.col("char_f1").alias(name))
+    j = c.select("pair_id", "task").join(score("candidate", "a"), "pair_id").join(score("baseline", "b"), "pair_id")
+    return evals.outcomes(evals.compared(j, "b", "a"), "task")
+
+
+def _bounds(typed: bool) -> str:
+    key = "i || '|' || ch" if typed else "i::VARCHAR"
+    side = lambda a, col: f"""{a}0 AS (SELECT pair_id, unnest(string_split({_nows(col)}, '')) AS ch, generate_subscripts(string_split({_nows(col)}, ''), 1) AS k FROM c),
+  {a}1 AS (SELECT pair_id, ch, sum(CASE WHEN regexp_matches(ch, '[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY k) AS i FROM {a}0),
+  {a} AS (SELECT pair_id, {key} AS e, count(*) AS n FROM {a}1 WHERE ch <> '' AND contains('{T.MARKS}', ch) GROUP BY ALL)"""
+    return f"""WITH {CANDIDATES}, {side("x", "baseline")}, {side("y", "reference")},
+m AS (SELECT x.pair_id, sum(least(x.n, y.n)) AS o FROM x JOIN y USING (pair_id, e) GROUP BY 1), nx AS (SELECT pair_id, sum(n) AS n FROM x GROUP BY 1), ny AS (SELECT pair_id, sum(n) AS n FROM y GROUP BY 1)
+SELECT pair_id, CASE WHEN coalesce(o, 0) > 0 THEN 2 * o / (nx.n + ny.n)::DOUBLE ELSE 0.0 END AS {"boundary" if typed else "position"}_f1 FROM c LEFT JOIN m USING (pair_id) LEFT JOIN nx USING (pair_id) LEFT JOIN ny USING (pair_id)"""
+
+
+@query(_bounds(True))
+def boundary_f1(spark, d):
+    return metrics.boundary_scores(candidates(spark, d), "pair_id", "baseline", "reference").select("pair_id", "boundary_f1")
+
+
+@query(_bounds(False))
+def position_f1(spark, d):
+    return metrics.boundary_scores(candidates(spark, d), "pair_id", "baseline", "reference", typed=False).select("pair_id", "position_f1")
+
+
+def _triage(spark, d):
+    c = candidates(spark, d)
+    c = c.join(metrics.char_scores(c, "pair_id", "candidate", "reference").select("pair_id", "char_f1"), "pair_id")
+    return c.withColumn("flags", evals.triage_flags(F.col("task"), F.col("prompt"), F.col("candidate"), F.col("reference"), F.col("char_f1")))
+
+
+def _num(x: str) -> str:
+    return f"regexp_extract_all({x}, '{T.TRIAGE_NUMBER}')"
+
+
+_TRIAGE = f"""WITH {CANDIDATES}, {_f1("f", "candidate", "reference")},
+t AS (SELECT pair_id, f1, length({_nows("candidate")}) / greatest(length({_nows("reference")}), 1)::DOUBLE AS ratio, list_filter([
+  CASE WHEN {_nows("candidate")} = '' THEN 'empty_output' END,
+  CASE WHEN {_core("prompt")} <> '' AND {_core("prompt")} = {_core("candidate")} THEN 'source_echo' END,
+  CASE WHEN ratio < 0.65 THEN 'omission_risk' END, CASE WHEN ratio > 1.55 THEN 'over_translation_risk' END,
+  CASE WHEN f1 < 0.4 THEN 'low_reference_overlap' END,
+  CASE WHEN {_num("candidate")} <> {_num("reference")} THEN 'number_or_date_mismatch_risk' END], lambda x: x IS NOT NULL) AS flags FROM c JOIN f USING (pair_id))"""
+
+
+@query(_TRIAGE + " SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM t) GROUP BY 1")
+def triage_flags(spark, d):
+    return review.each_flag(_triage(spark, d), "flags")
+
+
+@query(_TRIAGE + """ SELECT pair_id, row_number() OVER (ORDER BY score DESC, pair_id) AS review_rank FROM (
+  SELECT pair_id, round(CASE WHEN list_contains(flags, 'source_echo') THEN 3.0 ELSE 0 END + CASE WHEN list_contains(flags, 'omission_risk') THEN 2.0 ELSE 0 END + CASE WHEN list_contains(flags, 'low_reference_overlap') THEN 1.5 ELSE 0 END + CASE WHEN list_contains(flags, 'number_or_date_mismatch_risk') THEN 1.0 ELSE 0 END + CASE WHEN len(flags) > 0 THEN 0.5 ELSE 0 END, 6) AS score FROM t)
+ORDER BY score DESC, pair_id LIMIT 40""")
+def review_queue_topk(spark, d):
+    t = _triage(spark, d)
+    t = t.withColumns({"delta": F.lit(0.0), "priority": F.round(evals.triage_priority(F.lit(0.0), F.col("flags"), F.array().cast("array<string>")), 6)})
+    return evals.review_queue(t, 40, ordinal="pair_id").select("pair_id", F.col("review_rank").cast("long").alias("review_rank"))
+
+
+@query(f"""WITH {CANDIDATES}, u AS (SELECT pair_id, prompt, reference, task, 0 AS pos, candidate AS cand FROM c UNION ALL SELECT pair_id, prompt, reference, task, 1, baseline FROM c),
+r AS (SELECT *, length({_nows("cand")}) / greatest(length({_nows("reference")}), 1)::DOUBLE AS ratio FROM u),
+s AS (SELECT pair_id, pos, abs(1 - least(ratio, 2.0)) + CASE WHEN {_nows("cand")} = '' THEN 2.0 ELSE 0 END + CASE WHEN ratio < 0.3 OR ratio > 2.75 OR (task = 'c2m' AND {_core("prompt")} <> '' AND {_core("prompt")} = {_core("cand")}) THEN 1.0 ELSE 0 END AS pr FROM r)
+SELECT pair_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY round(pr, 6) DESC, pos) AS rn FROM s) WHERE rn = 1""")
+def candidate_select(spark, d):
+    c = candidates(spark, d)
+    u = c.select("pair_id", "prompt", "reference", "task", F.posexplode(F.array("candidate", "baseline")).alias("pos", "cand"))
+    auto, flags = prefs.candidate_reasons(F.col("task"), F.col("prompt"), F.col("cand"), F.col("reference"), repetition=False)
+    rated = u.withColumn("priority", prefs.candidate_priority(F.lit(1.0), T.length_ratio(F.col("cand"), F.col("reference")), F.lit(False), auto, flags))
+    return prefs.best_candidate(rated, "pair_id").select("pair_id", "pos")
+
+
+_LATIN = curriculum.Patterns(r"\p{Nd}+", "not|pas", "and|und", r"[A-Z][a-z]+ [A-Z]", "[,;:.!?]")
+
+
+@query(f"""WITH s AS (SELECT doc_id, x, greatest(length({_nows("x")}), 1) AS n FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+t AS (SELECT doc_id, CASE WHEN n >= 80 THEN 4 WHEN n >= 40 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[0-9]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, 'not|pas') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(x, 'and|und') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[A-Z][a-z]+ [A-Z]') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(x, '[,;:.!?]')) >= 4 THEN 2 ELSE 0 END AS score FROM s)
+SELECT doc_id, score::INTEGER AS score, 'hard' AS bucket FROM (SELECT * FROM t ORDER BY score DESC, sha256('3:hard:' || doc_id) LIMIT 60)""")
+def difficulty_rank(spark, d):
+    x = F.coalesce("text", F.lit(""))
+    score, _ = curriculum.difficulty(x, F.lit(""), _LATIN)
+    rows = table(spark, d, "documents").select("doc_id", score.alias("score"))
+    return curriculum.hard_and_replay(rows, "score", "doc_id", 60, 0, "3")
+
+
+@query("""SELECT lang, count(*) AS n, min(length(text)) AS least, percentile_disc(0.5) WITHIN GROUP (ORDER BY length(text)) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY length(text)) AS p95,
+percentile_disc(0.99) WITHIN GROUP (ORDER BY length(text)) AS p99, max(length(text)) AS most, count(CASE WHEN length(text) > 5000 THEN 1 END) AS "over" FROM documents GROUP BY lang""")
+def length_percentiles(spark, d):
+    return evals.length_summary(table(spark, d, "documents"), "lang", F.length("text"), 5000)
+
+
+@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS n_messages FROM conversations c
+QUALIFY role = 'assistant' AND count(CASE WHEN role = 'user' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) > 0""")
+def convo_prefixes(spark, d):
+    c = convo.collected(table(spark, d, "conversations"))
+    return convo.prefixes(c, "conv_id", "messages").select("conv_id", F.size("prefix").cast("long").alias("n_messages"))
+
+
+@query("""WITH s AS (SELECT *, coalesce(count(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id, max(turn) FILTER (role = 'assistant') AS turn, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS user_text, max(text) FILTER (role = 'assistant') AS assistant_text
+FROM s GROUP BY conv_id, i HAVING count(CASE WHEN role = 'user' THEN 1 END) > 0 AND count(CASE WHEN role = 'assistant' THEN 1 END) > 0""")
+def convo_turn_pairs(spark, d):
+    return convo.turn_pairs(table(spark, d, "conversations"))
+
+
+@query("""SELECT conv_id, (rn - 1)::INTEGER AS pos, text AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE role = 'user'""")
+def rloo_prompts(spark, d):
+    return convo.user_prompts(convo.collected(table(spark, d, "conversations")), "conv_id", "messages")
+
+
+@query("""SELECT conv_id, count(CASE WHEN role NOT IN ('system', 'user', 'assistant') OR text IS NULL THEN 1 END) = 0 AS valid, count(CASE WHEN role = 'system' THEN 1 END) <= 1 AND count(CASE WHEN role = 'user' THEN 1 END) = 1 AND count(CASE WHEN role = 'assistant' THEN 1 END) = 1 AND count(CASE WHEN role = 'system' THEN 1 END) = 1 AS single FROM conversations GROUP BY conv_id""")
+def sharegpt_validate(spark, d):
+    names = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt", "system", "system")])
+    c = convo.collected(table(spark, d, "conversations")).withColumn("conv", F.transform("messages", lambda m: F.struct(names[m["role"]].alias("from"), m["content"].alias("value"))))
+    return c.select("conv_id", quality.valid_conversation(F.col("conv")).alias("valid"), convo.shape_error(F.col("conv")).isNull().alias("single"))
+
+
+@query("""SELECT doc_id, lang, NULL::INTEGER AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels""")
+def schema_aligned_union(spark, d):
+    return files.aligned_union(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality"))
+
+
+@query("""SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)""")
+def set_ops(spark, d):
+    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+    return count(a.intersect(b), "both").unionByName(count(a.join(b, "doc_id", "left_anti").distinct(), "unlabelled"))
+
+
+@query()
+def chunk_documents(spark, d):
+    return retrieval.chunked(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def html_to_text_lines(spark, d):
+    return retrieval.html_lines(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("""WITH s AS (SELECT a.vec_id, b.vec_id AS match_vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / greatest(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 1e-12), 6) AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT vec_id, match_vec_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, match_vec_id) AS rank FROM s) WHERE rank <= 10""")
+def vector_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return retrieval.cosine_topk(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", 10)
+
+
+@query("""WITH w AS (SELECT source, doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM (SELECT source, doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS t FROM documents)),
+p AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total FROM w)
+SELECT source, (pos // 512) AS block_no, count(*) AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM p WHERE total < 512 OR pos < (total // 512) * 512 GROUP BY 1, 2""")
+def pack_blocks(spark, d):
+    tokens = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
+    rows = table(spark, d, "documents").select("source", "doc_id", tokens.alias("tokens"))
+    return packing.packed(rows, "source", "doc_id", "tokens", 512).select("source", "block_no", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@query(f"""WITH {CANDIDATES} SELECT pair_id, CASE WHEN {_core("baseline")} = {_core("reference")} THEN 1.0 ELSE -1.0 END AS guard,
+CASE WHEN {_nows("baseline")} = {_nows("reference")} THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN {_strip("baseline")} <> '' AND NOT regexp_matches(baseline, '<think>|<answer>|```|答案：|解释：') THEN 1.0 ELSE 0.0 END AS direct FROM c""")
+def reward_v2(spark, d):
+    c = candidates(spark, d)
+    o, r = F.col("baseline"), F.col("reference")
+    return c.select("pair_id", rewards.preservation_guard(o, r).alias("guard"), rewards.exact(o, r).alias("exact"), rewards.direct_format(o).alias("direct"))
+
+
+@query(f"""WITH {PAIRS} SELECT pair_id, md5('### Instruction:' || chr(10) || prompt || chr(10) || chr(10) || '### Response:' || chr(10) || reference) AS digest FROM
+(SELECT pair_id, prompt, reference FROM p)""".replace("md5('### Instruction:'", "md5('Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:'"))
+def template_render(spark, d):
+    p = pairs(spark, d)
+    turns = F.array(F.struct(F.col("prompt").alias("user"), F.col("reference").alias("assistant")))
+    return p.select("pair_id", F.md5(templates.render("alpaca", turns)).alias("digest"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
+l AS (SELECT doc_id, coalesce(count(term), 0) AS len FROM documents LEFT JOIN t USING (doc_id) GROUP BY 1), s AS (SELECT count(*) AS n, avg(len) AS av FROM l),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+SELECT item_id, count(*) AS n, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))), 3) AS total FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (doc_id), s GROUP BY item_id""".replace("count(*) AS n, round", "count(DISTINCT doc_id) AS n_docs, round"))
+def bm25_totals(spark, d):
+    docs = table(spark, d, "documents")
+    q = table(spark, d, "benchmark").withColumnRenamed("text", "q")
+    got = retrieval.bm25(docs, q, "doc_id", "text", "item_id", "q")
+    return got.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.sum("score"), 3).alias("total"))

@@ -32,7 +32,7 @@ BLANK = "▁"
 UNKNOWN = 10.0
 CHUNK = 1 << 20
 #: Distinct words that a Python worker remembers between batches.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Longest words that advance together in one matrix; longer ones are taken in blocks of the same bytes.
 MATRIX = 1 << 22
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -200,7 +200,7 @@ class Codec:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [split(t) for t in texts]
@@ -212,11 +212,11 @@ class Codec:
                 if len(new) < REMEMBERED // 2:
                     self.known = {}
                 table = {w: table[w] for p in parts for w in p if w in table}
-            table.update(zip(new, ids, strict=True))
+            table.update((w, x.tobytes()) for w, x in zip(new, ids, strict=True))
             if len(table) <= REMEMBERED:
                 self.known = table
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([table[w] for w in p]) if p else empty for p in parts]
+        get = table.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
 
     def _marked(self, words: list[str]) -> list[np.ndarray]:
         """As encode_words, but the blank marks of the text become byte pieces."""
@@ -231,7 +231,7 @@ class Codec:
                 if x:
                     row.append(ids[at])
                     at += 1
-            out.append(np.concatenate(row))
+            out.append(np.concatenate(row).astype(np.int32))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -7,7 +7,9 @@ also starts anywhere else in the corpus.
    need sorting. An anchor is recorded with its gram's hash, the run of windows that select
    it, and a 128-bit hash of the bytes those windows span (its context).
 2. Anchors whose gram occurs once are out. A context that occurs twice settles all its
-   windows. Of the other contexts that share a gram, one copy each is *open*.
+   windows. Of the other contexts that share a gram, one copy each is *open*. The windows of
+   an open context fall into bins by their bytes before the anchor; all windows of a bin have
+   a core in common. Bins whose core no other context has cannot repeat and are left out.
 3. Open suffixes are range-partitioned by leading bytes with sampled splitters (Spark's range
    exchange; ties broken by position, so a very common suffix is dealt to several buckets),
    sorted in each bucket by multikey quicksort, and windows are compared within groups of
@@ -37,6 +39,9 @@ SEEDS = (11, 23, 37)
 #: Open suffixes of a bucket (about 600 bytes each).
 BUCKET = 10_000
 
+#: A bin holds length // BINS windows.
+BINS = 25
+
 _rollers: dict[int, Roller] = {}
 
 
@@ -118,9 +123,20 @@ def _anchored(length: int):
     return run
 
 
+def bin_keys(text: bytes, before: int, length: int) -> np.ndarray:
+    """Hashes of the cores of a context's bins that have windows; the low six bits are the bin's number."""
+    raw = np.frombuffer(text, np.uint8)
+    width, most = max(1, length // BINS), length - length // 2
+    least = max(0, length - (len(raw) - before))
+    j = np.arange(least // width, min(before, most) // width + 1)
+    r = roller(SEEDS[1])
+    core = r.ranges(r.prefix(raw), before - np.maximum(j * width, 0), before + length - np.minimum((j + 1) * width - 1, most))
+    return (core & ~np.uint64(63)) | j.astype(np.uint64)
+
+
 def _opened(length: int):
-    """Rows (text, doc_id, row_key, spots) to the open suffixes with their bytes."""
-    out = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("gram", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("copies", pa.int64())])
+    """Rows (text, doc_id, row_key, spots) to the open suffixes with their bytes and the keys of their bins."""
+    out = pa.schema([("suffix", pa.binary()), ("before", pa.binary()), ("gram", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("copies", pa.int64()), ("bins", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -129,7 +145,8 @@ def _opened(length: int):
             for text, spots in zip(texts, batch.column("spots"), strict=True):
                 t = text.as_py()
                 for p in spots.as_py():
-                    rows.append((t[p["start"] : p["hi"] + length], t[p["lo"] : p["start"]], p["gram"], p["c0"], p["c1"], p["copies"]))
+                    bins = bin_keys(t[p["lo"] : p["hi"] + length], p["start"] - p["lo"], length).view(np.int64).tolist()
+                    rows.append((t[p["start"] : p["hi"] + length], t[p["lo"] : p["start"]], p["gram"], p["c0"], p["c1"], p["copies"], bins))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
@@ -165,13 +182,13 @@ def multikey_order(strings: list[bytes]) -> np.ndarray:
     return order
 
 
-def _window_hashes(text: bytes, before: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of every window of a context, mixed with the anchor's place in the window."""
+def _window_hashes(text: bytes, before: int, live: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of a context in its live bins, and two hashes of each, mixed with the anchor's place."""
     raw = np.frombuffer(text, np.uint8)
     s = np.arange(before + 1)
-    s = s[s + length <= len(raw)]
+    s = s[(s + length <= len(raw)) & ((live >> (before - s) // max(1, length // BINS)) & 1 == 1)]
     tag = (before - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return tuple(r.ranges(r.prefix(raw), s, s + length) ^ tag for r in (roller(SEEDS[1]), roller(SEEDS[2])))
+    return s, *(r.ranges(r.prefix(raw), s, s + length) ^ tag for r in (roller(SEEDS[1]), roller(SEEDS[2])))
 
 
 _FOUND = "gram long, c0 long, c1 long, a int, b int, w0 long, w1 long, copies long, sure boolean"
@@ -187,12 +204,13 @@ def _sorted_buckets(length: int):
     gram = length // 2
 
     def compared(at, suffix, before, info, border):
-        g, c0, c1, copies = info
-        hashes = [_window_hashes(before[i] + suffix[i], len(before[i]), length) for i in at]
+        g, c0, c1, copies, live = info
+        hashes = [_window_hashes(before[i] + suffix[i], len(before[i]), int(live[i]), length) for i in at]
         n = np.array([len(x[0]) for x in hashes])
+        if not n.sum():
+            return
         who = np.repeat(at, n)
-        w0, w1 = (np.concatenate([x[y] for x in hashes]) for y in (0, 1))
-        spot = np.concatenate([np.arange(x) for x in n])
+        spot, w0, w1 = (np.concatenate([x[y] for x in hashes]) for y in (0, 1, 2))
         by = np.lexsort((w1, w0))
         new = np.ones(len(by), bool)
         new[1:] = (w0[by][1:] != w0[by][:-1]) | (w1[by][1:] != w1[by][:-1])
@@ -219,7 +237,7 @@ def _sorted_buckets(length: int):
         for batch in batches:
             suffix += batch.column("suffix").to_pylist()
             before += batch.column("before").to_pylist()
-            rest.append([np.asarray(batch.column(c)) for c in ("gram", "c0", "c1", "copies")])
+            rest.append([np.asarray(batch.column(c)) for c in ("gram", "c0", "c1", "copies", "live")])
         if not suffix:
             return
         info = tuple(map(np.concatenate, zip(*rest, strict=True)))
@@ -302,7 +320,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     texts = docs.mapInArrow(_keyed(), "doc_id long, text string, row_key long")
     # Rows repeated in full come more than once here; their contexts have copies, so counts stay right.
     holders = _joined(texts, spots, "inner").select("text", "spots")
-    opened = materialise(holders.mapInArrow(_opened(length), "suffix binary, before binary, gram long, c0 long, c1 long, copies long"), "suffix-open")
+    opened = materialise(holders.mapInArrow(_opened(length), "suffix binary, before binary, gram long, c0 long, c1 long, copies long, bins array<long>"), "suffix-open")
+    cores = opened.select("gram", "c0", "c1", F.explode("bins").alias("core"))
+    shared = cores.groupBy("gram", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core")
+    # Written before it is grouped, so that the join of a very common core may be dealt anew.
+    cores = materialise(cores.join(shared.hint("merge"), ["gram", "core"], "left_semi"), "suffix-cores")
+    live = cores.groupBy("gram", "c0", "c1").agg(F.bit_or(F.expr("shiftleft(1L, cast(core & 63 AS int))")).alias("live"))
+    opened = materialise(opened.drop("bins").join(live.hint("merge"), ["gram", "c0", "c1"]).select("suffix", "before", "gram", "c0", "c1", "copies", "live"), "suffix-live")
     buckets = max(1, -(-opened.count() // BUCKET))
     dealt = opened.repartitionByRange(buckets, F.substring("suffix", 1, 32), F.col("c0"))
     windows = materialise(dealt.mapInArrow(_sorted_buckets(length), _FOUND), "suffix-windows")

@@ -40,11 +40,9 @@ CHUNK = 1 << 18
 ROUNDS = 60
 
 
-def fingerprints_of(texts: pa.Array, words: int) -> np.ndarray:
-    """uint64 fingerprint of every text."""
+def shingled(texts: pa.Array, words: int):
+    """Pieces of the texts: (rows that have words, shingle hashes in order, where each row's begin)."""
     raw_all, off_all = flat(texts)
-    out = np.zeros(len(off_all) - 1, np.uint64)
-    shifts = np.arange(64, dtype=np.uint64)
     for i, j in chunks(off_all, CHUNK):
         raw = lowered(raw_all[off_all[i] : off_all[j]])
         starts, ends, owner = word_bounds(raw, off_all[i : j + 1] - off_all[i])
@@ -64,10 +62,22 @@ def fingerprints_of(texts: pa.Array, words: int) -> np.ndarray:
         b, e = at[sh], (at + size)[sh + np.repeat(span, n_sh) - 1]
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(text[x:y], SEED) for x, y in zip(b.tolist(), e.tolist(), strict=True)), np.uint64, len(b))
-        at_doc = np.cumsum(n_sh) - n_sh
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at_doc, axis=0, dtype=np.int64)
-        out[i + docs] = ((2 * ones > n_sh[:, None]).astype(np.uint64) << shifts).sum(1, dtype=np.uint64)
+        yield i + docs, h, np.cumsum(n_sh) - n_sh
+
+
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row: bits set in over half of its hashes."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+    n_sh = np.diff(np.append(at, len(h)))
+    return ((2 * ones > n_sh[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+
+def fingerprints_of(texts: pa.Array, words: int) -> np.ndarray:
+    """uint64 fingerprint of every text."""
+    out = np.zeros(len(texts), np.uint64)
+    for rows, h, at in shingled(texts, words):
+        out[rows] = majority(h, at)
     return out
 
 
@@ -122,6 +132,20 @@ class Ring:
             ok &= total <= self.bound[length]
         return ok
 
+    def any_chain(self, x: np.ndarray) -> np.ndarray:
+        """Whether the differences x pass the full check and, from some start, the chain test."""
+        ok = np.bitwise_count(x) <= self.tau
+        at = np.nonzero(ok)
+        near = x[at]
+        passed = np.zeros(near.shape, bool)
+        for start in range(self.m):
+            left = np.flatnonzero(~passed)
+            if not len(left):
+                break
+            passed[left] = self.linked(start, near[left])
+        ok[at] = passed
+        return ok
+
 
 def _forest(fps: np.ndarray, ring: Ring, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fp, root) of a spanning forest of the links in a bucket of distinct fingerprints."""
@@ -234,13 +258,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialise(placed.join(comp, "root").select(F.col("fp").alias("fp2"), "component_id"), "simhash-named")
     return rows.join(named.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tau: int = 3, segments: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one of each component, that of the least id.
-
-    Documents without words link with each other here as in ``near_duplicates``."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, tau=tau, segments=segments)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    tagged = docs.withColumn("__id", F.col(id_col).cast("long"))
-    return tagged.join(keep, tagged["__id"].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates(["__id"]).drop("__id")

@@ -24,6 +24,7 @@ smallest unless the component has no other. An empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -116,8 +117,12 @@ class Ring:
         seg = (1 << self.width) - 1
         self.masks = np.array([np.uint64(seg << (self.width * i)) for i in range(segments)])
         self.run_masks = np.array([np.bitwise_or.reduce(self.masks[[(i + x) % segments for x in range(self.run)]]) for i in range(segments)])
-        free = segments - self.run
-        self.choices = list(combinations(range(self.run, segments), free - tau)) if free > tau else [()]
+
+    @cached_property
+    def choices(self) -> list[tuple[int, ...]]:
+        """Parts outside a run of which some choice must be equal; only large buckets ask for them."""
+        free = self.m - self.run
+        return list(combinations(range(self.run, self.m), free - self.tau)) if free > self.tau else [()]
 
     def second_masks(self, start: int) -> np.ndarray:
         """Masks of the run and of each choice of parts outside it that may all be equal."""

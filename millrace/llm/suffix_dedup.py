@@ -10,8 +10,8 @@ also starts anywhere else in the corpus.
    windows. Of the other contexts that share a gram, one copy each is *open*. The windows of
    an open context fall into bins by their bytes before the anchor; all windows of a bin have
    a core in common. Bins whose core no other context has cannot repeat and are left out.
-3. Open suffixes are range-partitioned by leading bytes with sampled splitters (Spark's range
-   exchange; ties broken by position, so a very common suffix is dealt to several buckets),
+3. Open suffixes are range-partitioned by their gram's bytes with sampled splitters (Spark's range
+   exchange; ties broken by context, so a very common gram is dealt to several buckets),
    sorted in each bucket by multikey quicksort, and windows are compared within groups of
    suffixes that agree on the gram. A group that may reach over a bucket's boundary is
    compared across boundaries: its windows are counted by hash over all buckets.
@@ -328,7 +328,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     live = cores.groupBy("gram", "c0", "c1").agg(F.bit_or(F.expr("shiftleft(1L, cast(core & 63 AS int))")).alias("live"))
     opened = materialise(opened.drop("bins").join(live.hint("merge"), ["gram", "c0", "c1"]).select("suffix", "before", "gram", "c0", "c1", "copies", "live"), "suffix-live")
     buckets = max(1, -(-opened.count() // BUCKET))
-    dealt = opened.repartitionByRange(buckets, F.substring("suffix", 1, 32), F.col("c0"))
+    # By the whole gram: suffixes that share only a part of it must not be dealt by their contexts, or groups inside a bucket would go on in others.
+    dealt = opened.repartitionByRange(buckets, F.substring("suffix", 1, length // 2), F.col("c0"))
     windows = materialise(dealt.mapInArrow(_sorted_buckets(length), _FOUND), "suffix-windows")
     border = windows.where("not sure")
     across = border.groupBy("gram", "w0", "w1").agg(F.sum("copies").alias("n"), F.count("*").alias("k")).where("n > 1 and k > 1").select("gram", "w0", "w1")

@@ -1,21 +1,20 @@
 """LM scoring by Katz backoff: Good-Turing discounted bigram counts with exactly normalised
-backoff weights, over a vocabulary with an open class.
-
-Model. The VOCABULARY most frequent training words and the end mark are classes of their own;
-all other words share the class *rare*. P(w | v) is evaluated recursively: a bigram of classes
-that training saw has its discounted share of v's count; else the backoff weight of v times
-the class's unigram probability. A rare word's share of its class is (c + 1) / (C + V + 1)
-with its own count c, and C words of V kinds in the class: what is left is the unknown word's.
-Sums over all words, known or not, are 1 for every context.
-
-Plan. Unigrams are counted over all training texts (pre-aggregated by task, then by word);
-the vocabulary, of bounded size, is broadcast. Every document's bigrams and rare words are
-dealt by context and by word to partitions as sorted, compressed arrays (frequent contexts are
-spread by successor, too). Each partition counts its n-grams and writes one table row with
-the counts and the places where they occur; counts of counts, and what frequent contexts need
-for their backoff weights, are summed over partitions. A second scan of that partitioned table
+backoff weights, over all words of the training texts and an unknown word.
+
+Model. P(w | v) is evaluated recursively: a bigram that training saw has its discounted share
+of v's count; else the backoff weight of v times w's unigram probability. The unknown word
+counts as one occurrence. Sums over all words, known or not, are 1 for every context.
+
+Plan. Unigrams are counted over all training texts (pre-aggregated by task, then by word). The
+VOCABULARY most frequent ones are broadcast and get short numbers, which only saves work: other
+words go by their hashes, with the same counts and bigrams. Every document's bigrams are dealt
+by context to partitions as sorted, compressed arrays (frequent contexts are spread by
+successor, too), and the counts of the other words that a partition meets are sent there from
+the table of unigrams. Each partition counts its bigrams and writes one table row with the
+counts and the places where they occur; counts of counts, and what frequent contexts need for
+their backoff weights, are summed over partitions. A second scan of that partitioned table
 scores every occurrence and sends partial sums to the documents. Nothing of the corpus but the
-vocabulary and these sums reaches the driver.
+frequent words and these sums reaches the driver.
 
 Defined results: null text counts as empty; an empty text is the end mark alone. Words are
 split at blanks and \\t \\n \\v \\f \\r with A-Z lower-cased; words are told apart by 64-bit hashes.
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Roller, arrow_rows, chunks, flat, lowered, materialise, mix64, word_bounds
 
+#: Words that are broadcast; results do not depend on it.
 VOCABULARY = 1 << 16
 #: Good-Turing discounts apply to counts up to this.
 CUTOFF = 5
@@ -45,12 +45,17 @@ BLOCK = 1_000_000
 CHUNK = 1 << 18
 
 _words = Roller(101)
-_BITS = np.uint64(17)
-BIGRAMS, RARE, DOCS = 0, 1, 2
+#: Numbers below this are frequent words, the end and the start; from it on, hashes.
+NUMBERS = 1 << 17
+BIGRAMS, WORDS, DOCS = 0, 1, 2
 
 
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _words.ranges(_words.prefix(raw), starts, ends)
+    return above_numbers(_words.ranges(_words.prefix(raw), starts, ends))
+
+
+def above_numbers(h: np.ndarray) -> np.ndarray:
+    return np.where(h < NUMBERS, h + np.uint64(NUMBERS), h)
 
 
 def _unigrams(batches):
@@ -88,26 +93,34 @@ def _unigrams(batches):
 
 
 class Vocabulary:
-    """Sorted hashes of the frequent words, class counts (words, end, rare, start) and totals."""
+    """Sorted hashes of the frequent words, counts by number (words, end, start) and totals."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, kinds: int, docs: int):
         order = np.argsort(words)
         self.words = words[order]
         k = len(words)
-        self.end, self.rare, self.start = k, k + 1, k + 2
+        self.end, self.start = k, k + 1
         self.n, self.v = total + docs, kinds + (docs > 0)
-        self.rare_n, self.rare_v = total - int(counts.sum()), kinds - k
-        self.counts = np.concatenate([counts[order], [docs, self.rare_n, docs]]).astype(np.int64)
-        self.rare_size = self.rare_n + self.rare_v + 1
-        p = self.counts[: k + 2].astype(np.float64)
-        p[self.rare] = self.rare_size
-        self.p = p / p.sum()
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
+        self.kinds = kinds + 2  # with the end and the unknown word
+        self.counts = np.concatenate([counts[order], [docs, docs]]).astype(np.int64)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Of hashes: the numbers of frequent words, other words as they are."""
         if not len(self.words):
-            return np.full(len(h), self.rare)
+            return h
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, self.rare)
+        return np.where(self.words[at] == h, at.astype(np.uint64), h)
+
+    def counts_of(self, tok: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Training counts of tokens; ``others`` holds those of the tokens that have no number."""
+        short = tok < NUMBERS
+        out = np.empty(len(tok), np.int64)
+        out[short], out[~short] = self.counts[tok[short].astype(np.int64)], others
+        return out
+
+    def unigram(self, tok: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Unigram probabilities; an unknown word has the place of one occurrence."""
+        return np.where((tok >= NUMBERS) & (counts == 0), 1, counts) / (self.n + 1.0)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -133,44 +146,106 @@ def unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64, n), dtype=np.uint64)
 
 
-_PIECES = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("more", pa.binary())])
-_PIECES_SQL = "pid int, kind int, n int, n_docs int, keys binary, docs binary, rows binary, more binary"
+_PIECES = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("keys", pa.binary()), ("toks", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("more", pa.binary())])
+_PIECES_SQL = "pid int, kind int, n int, n_docs int, keys binary, toks binary, docs binary, rows binary, more binary"
+
 
+def is_hot(ctx: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[np.minimum(ctx, np.uint64(len(hot) - 1)).astype(np.int64)] & (ctx < len(hot))
 
-def bigram_pid(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+
+def bigram_pid(ctx: np.ndarray, tok: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
     """By context; of a hot context also by successor."""
-    ctx = keys >> _BITS
-    by = np.where(hot[ctx.astype(np.int64)], mix64(keys + np.uint64(1)), mix64(ctx + np.uint64(77)))
+    own = mix64(ctx + np.uint64(77))
+    by = np.where(is_hot(ctx, hot), mix64(own + tok), own)
     return (by % np.uint64(parts)).astype(np.int32)
 
 
-def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
+def bigrams(v: Vocabulary, h: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and tokens of documents of n_words words with hashes h, an end mark after each document."""
+    n_docs = len(n_words)
+    owner = np.repeat(np.arange(n_docs), n_words)
+    # tokens of document d stand at first[d] .. first[d] + n_words[d], the end mark last
+    first = np.cumsum(n_words + 1) - (n_words + 1)
+    tok = np.full(len(h) + n_docs, v.end, np.uint64)
+    tok[np.arange(len(h)) + owner] = v.numbers(h)
+    ctx = np.empty_like(tok)
+    ctx[1:] = tok[:-1]
+    ctx[first] = v.start
+    return ctx, tok
+
+
+def _wanted(vocab, hot: np.ndarray, parts: int):
+    """Which words without a number a partition meets as successors, distinct in a task's pieces."""
+    out = pa.schema([("pid", pa.int32()), ("word", pa.int64())])
+
+    def wanted(batches):
+        v: Vocabulary = vocab.value
+        held, size = [], 0
+
+        def distinct():
+            pid, tok = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((tok, pid))
+            pid, tok = pid[order], tok[order]
+            new = np.ones(len(tok), bool)
+            new[1:] = (pid[1:] != pid[:-1]) | (tok[1:] != tok[:-1])
+            return pid[new], tok[new]
+
+        def batch_of(pid, tok):
+            for i in range(0, len(tok), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(pid[i : i + (1 << 17)]), pa.array(tok[i : i + (1 << 17)].view(np.int64))], schema=out)
+
+        for batch in batches:
+            raw_all, off_all = flat(batch.column("text"))
+            for i, j in chunks(off_all, CHUNK):
+                raw, off = lowered(raw_all[off_all[i] : off_all[j]]), off_all[i : j + 1] - off_all[i]
+                s, e, owner = word_bounds(raw, off)
+                ctx, tok = bigrams(v, hash_words(raw, s, e), np.bincount(owner, minlength=j - i))
+                other = tok >= NUMBERS
+                held.append((bigram_pid(ctx[other], tok[other], hot, parts), tok[other]))
+                size += int(other.sum())
+                if size >= BLOCK:
+                    held = [distinct()]
+                    size = len(held[0][0])
+                    if size > BLOCK // 2:
+                        yield from batch_of(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from batch_of(*distinct())
+
+    return wanted
+
+
+def _sent(batches):
+    """(pid, word, n) of a task as one piece a partition."""
+    cols = [[np.asarray(b.column(c)) for c in ("pid", "word", "n")] for b in batches]
+    if not cols:
+        return
+    pid, word, n = map(np.concatenate, zip(*cols, strict=True))
+    word = word.view(np.uint64)
+    order = np.lexsort((word, pid))
+    pid, word, n = pid[order], word[order], n[order]
+    pids, cut = np.unique(pid, return_index=True)
+    for p, i, j in zip(pids, cut, [*cut[1:], len(pid)], strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((p, WORDS, j - i, 0, b"", pack(word[i:j]), pack(n[i:j]), b"", b""), _PIECES, strict=True)], schema=_PIECES)
+
+
+def _dealt(vocab, hot: np.ndarray, parts: int):
     def deal(batches):
         v: Vocabulary = vocab.value
         log_c = np.log10(v.counts + 1.0)
 
         def block(h, n_words, text_hash, ids, valid, held):
             n_docs = len(n_words)
-            owner = np.repeat(np.arange(n_docs), n_words)
-            cls = v.classes(h)
-            # tokens of document d stand at first[d] .. first[d] + n_words[d], the end mark last
-            first = np.cumsum(n_words + 1) - (n_words + 1)
-            tok = np.full(len(h) + n_docs, v.end, np.int64)
-            tok[np.arange(len(h)) + owner] = cls
-            ctx = np.empty_like(tok)
-            ctx[1:] = tok[:-1]
-            ctx[first] = v.start
+            ctx, tok = bigrams(v, h, n_words)
             doc = np.repeat(np.arange(n_docs), n_words + 1)
             rows = np.array([int.from_bytes(hashlib.blake2b(b"%d|" % i if ok else b"|", digest_size=8).digest(), "little") for i, ok in zip(ids.tolist(), valid.tolist(), strict=True)], np.uint64)
             rows = mix64(rows ^ text_hash)
-            common = tok != v.rare
-            base = np.bincount(doc[common], log_c[tok[common]], n_docs)
-            known = np.bincount(doc[common], (v.counts[tok[common]] > 0).astype(float), n_docs).astype(np.int64)
-            keys = (ctx.astype(np.uint64) << _BITS) | tok.astype(np.uint64)
-            trained = (~held).astype(np.uint8)
-            yield from pieces(BIGRAMS, bigram_pid(keys, hot, parts), keys, doc, rows, trained)
-            r = np.flatnonzero(cls == v.rare)
-            yield from pieces(RARE, (h[r] % np.uint64(rare_parts)).astype(np.int32) + parts, h[r], owner[r], rows, trained)
+            common = tok < NUMBERS
+            short = tok[common].astype(np.int64)
+            base = np.bincount(doc[common], log_c[short], n_docs)
+            known = np.bincount(doc[common], (v.counts[short] > 0).astype(float), n_docs).astype(np.int64)
+            yield from pieces(bigram_pid(ctx, tok, hot, parts), ctx, tok, doc, rows, (~held).astype(np.uint8))
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=~valid), pa.array(held), pa.array(n_words + 1), pa.array(known), pa.array(base)], names=["doc_id", "held_out", "n_tokens", "n_known", "base"]
             )
@@ -178,18 +253,16 @@ def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
             with pa.ipc.new_stream(sink, batch.schema) as w:
                 w.write_batch(batch)
             data = bytes(pa.compress(sink.getvalue(), codec="zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((int(rows[0] % np.uint64(parts)), DOCS, len(sink.getvalue()), n_docs, b"", b"", pack(rows), data), _PIECES, strict=True)], schema=_PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((int(rows[0] % np.uint64(parts)), DOCS, len(sink.getvalue()), n_docs, b"", b"", b"", pack(rows), data), _PIECES, strict=True)], schema=_PIECES)
 
-        def pieces(kind, pid, keys, doc, rows, trained):
-            if not len(keys):
-                return
-            order = np.lexsort((keys, pid))
-            pid, keys, doc = pid[order], keys[order], doc[order]
+        def pieces(pid, ctx, tok, doc, rows, trained):
+            order = np.lexsort((tok, ctx, pid))
+            pid, ctx, tok, doc = pid[order], ctx[order], tok[order], doc[order]
             pids, cut = np.unique(pid, return_index=True)
             out = []
             for p, i, j in zip(pids, cut, [*cut[1:], len(pid)], strict=True):
                 used, local = np.unique(doc[i:j], return_inverse=True)
-                out.append((p, kind, j - i, len(used), pack_sorted(keys[i:j]), pack(local.astype(np.uint16 if len(used) < 65536 else np.uint32)), pack(rows[used]), pack(trained[used])))
+                out.append((p, BIGRAMS, j - i, len(used), pack_sorted(ctx[i:j]), pack(tok[i:j]), pack(local.astype(np.uint16 if len(used) < 65536 else np.uint32)), pack(rows[used]), pack(trained[used])))
             for i in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[i : i + 16], strict=True), _PIECES, strict=True)], schema=_PIECES)
 
@@ -204,7 +277,7 @@ def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
                 raw, off = lowered(raw_all[off_all[i] : off_all[j]]), off_all[i : j + 1] - off_all[i]
                 s, e, owner = word_bounds(raw, off)
                 p = _words.prefix(raw)
-                held.append((_words.ranges(p, s, e), np.bincount(owner, minlength=j - i), _words.ranges(p, off[:-1], off[1:]), ids[i:j], valid[i:j], out[i:j]))
+                held.append((above_numbers(_words.ranges(p, s, e)), np.bincount(owner, minlength=j - i), _words.ranges(p, off[:-1], off[1:]), ids[i:j], valid[i:j], out[i:j]))
                 size += len(s) + j - i
                 if size >= BLOCK:
                     yield from block(*map(np.concatenate, zip(*held, strict=True)))
@@ -215,21 +288,33 @@ def _dealt(vocab, hot: np.ndarray, parts: int, rare_parts: int):
     return deal
 
 
-_TABLE = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("n_keys", pa.int64()), ("n_docs", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("times", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("body", pa.list_(pa.binary())), ("n_r", pa.list_(pa.int64())), ("hot", pa.list_(pa.float64()))])
-_TABLE_SQL = "pid int, kind int, n long, n_keys long, n_docs long, keys binary, counts binary, times binary, docs binary, rows binary, body array<binary>, n_r array<bigint>, hot array<double>"
+_TABLE = pa.schema([("pid", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("n_keys", pa.int64()), ("n_docs", pa.int64()), ("keys", pa.binary()), ("toks", pa.binary()), ("others", pa.binary()), ("counts", pa.binary()), ("times", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("body", pa.list_(pa.binary())), ("n_r", pa.list_(pa.int64())), ("hot", pa.list_(pa.float64()))])
+_TABLE_SQL = "pid int, kind int, n long, n_keys long, n_docs long, keys binary, toks binary, others binary, counts binary, times binary, docs binary, rows binary, body array<binary>, n_r array<bigint>, hot array<double>"
 
 
-def context_sums(ctx: np.ndarray, cls: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def context_sums(ctx: np.ndarray, c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per context of seen bigrams (sorted by context): bigrams with count 1..CUTOFF, words in larger counts,
-    unigram probability of the successors, number of successors."""
+    unigram probability of the successors (p, by bigram), number of successors."""
     start = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
     if not len(start):
         return ctx[:0], np.zeros((0, CUTOFF + 3))
     cols = [np.add.reduceat((c == r).astype(np.float64), start) for r in range(1, CUTOFF + 1)]
-    cols += [np.add.reduceat(np.where(c > CUTOFF, c, 0).astype(np.float64), start), np.add.reduceat(p[cls], start), np.add.reduceat(np.ones(len(c)), start)]
+    cols += [np.add.reduceat(np.where(c > CUTOFF, c, 0).astype(np.float64), start), np.add.reduceat(p, start), np.add.reduceat(np.ones(len(c)), start)]
     return ctx[start], np.stack(cols, 1)
 
 
+def _looked_up(sent: list[dict], words: np.ndarray) -> np.ndarray:
+    """Training counts of words by the pieces sent to a partition; 0 for those that training never saw."""
+    if not sent or not len(words):
+        return np.zeros(len(words), np.int64)
+    word = np.concatenate([unpack(r["toks"], np.uint64, r["n"]) for r in sent])
+    n = np.concatenate([unpack(r["docs"], np.int64, r["n"]) for r in sent])
+    order = np.argsort(word)
+    word, n = word[order], n[order]
+    at = np.minimum(np.searchsorted(word, words), len(word) - 1)
+    return np.where(word[at] == words, n[at], 0)
+
+
 def _merged(vocab, hot: np.ndarray):
     def merge(batches):
         v: Vocabulary = vocab.value
@@ -240,29 +325,30 @@ def _merged(vocab, hot: np.ndarray):
         for (pid, kind), found in sorted(by.items()):
             if kind == DOCS:
                 for r in found:
-                    yield row(pid, kind, r["n"], 0, r["n_docs"], b"", b"", b"", b"", r["rows"], [r["more"]], [], [])
+                    yield row(pid, kind, r["n"], 0, r["n_docs"], b"", b"", b"", b"", b"", b"", r["rows"], [r["more"]], [], [])
+            if kind != BIGRAMS:
                 continue
             keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in found])
+            toks = np.concatenate([unpack(r["toks"], np.uint64, r["n"]) for r in found])
             base = np.cumsum([0, *[r["n_docs"] for r in found]])
             docs = np.concatenate([unpack(r["docs"], np.uint16 if r["n_docs"] < 65536 else np.uint32, r["n"]).astype(np.int32) + np.int32(b) for r, b in zip(found, base, strict=False)])
             rows = np.concatenate([unpack(r["rows"], np.uint64, r["n_docs"]) for r in found])
             trained = np.concatenate([unpack(r["more"], np.uint8, r["n_docs"]) for r in found])
             found.clear()
-            order = np.argsort(keys, kind="stable")
-            keys, docs = keys[order], docs[order]
+            order = np.lexsort((toks, keys))
+            keys, toks, docs = keys[order], toks[order], docs[order]
             del order
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (toks[1:] != toks[:-1])]))
             c = np.add.reduceat(trained[docs], start, dtype=np.int64)
-            distinct, times = keys[start], np.diff(np.append(start, len(keys)))
-            del keys
-            n_r, sums = [], []
-            if kind == BIGRAMS:
-                n_r = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
-                ctx, cls = (distinct >> _BITS).astype(np.int64), (distinct & np.uint64((1 << 17) - 1)).astype(np.int64)
-                of_hot = hot[ctx] & (c > 0)
-                at, got = context_sums(ctx[of_hot], cls[of_hot], c[of_hot], v.p)
-                sums = np.column_stack([at, got]).ravel().tolist()
-            yield row(pid, kind, len(docs), len(distinct), len(rows), pack_sorted(distinct), pack(c.astype(np.uint32)), pack(times.astype(np.uint32)), pack(docs), pack(rows), [], n_r, sums)
+            ctx, tok, times = keys[start], toks[start], np.diff(np.append(start, len(keys)))
+            del keys, toks
+            others = _looked_up(by.get((pid, WORDS), []), tok[tok >= NUMBERS])
+            n_r = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
+            of_hot = is_hot(ctx, hot) & (c > 0)
+            at, got = context_sums(ctx[of_hot], c[of_hot], v.unigram(tok, v.counts_of(tok, others))[of_hot])
+            sums = np.column_stack([at, got]).ravel().tolist()
+            pa.default_memory_pool().release_unused()
+            yield row(pid, kind, len(docs), len(ctx), len(rows), pack_sorted(ctx), pack(tok), pack(others), pack(c.astype(np.uint32)), pack(times.astype(np.uint32)), pack(docs), pack(rows), [], n_r, sums)
 
     def row(*values):
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _TABLE, strict=True)], schema=_TABLE)
@@ -296,20 +382,22 @@ def weights(sums: np.ndarray, total: np.ndarray, d: np.ndarray, classes: int) ->
     return denominator, alpha
 
 
-def class_logs(ctx: np.ndarray, cls: np.ndarray, c: np.ndarray, v: Vocabulary, d: np.ndarray, hot: np.ndarray, hot_weights: dict) -> np.ndarray:
-    """log10 P(class | context) of distinct bigrams, sorted by context, with training counts c."""
+def bigram_logs(ctx: np.ndarray, c: np.ndarray, p: np.ndarray, v: Vocabulary, d: np.ndarray, hot: np.ndarray, hot_weights: dict) -> np.ndarray:
+    """log10 P(token | context) of distinct bigrams, sorted by context, with training counts c and unigrams p."""
     seen = c > 0
-    at, sums = context_sums(ctx[seen], cls[seen], c[seen], v.p)
-    own = ~hot[at]
-    den, alpha = weights(sums, v.counts[at].astype(float), d, len(v.p))
-    table_den = np.ones(len(v.counts))
-    table_alpha = np.ones(len(v.counts))  # a context that training never saw: the unigram itself
-    table_den[at[own]], table_alpha[at[own]] = den[own], alpha[own]
-    for k, (x, y) in hot_weights.items():
-        table_den[k], table_alpha[k] = x, y
-    share = d[np.minimum(c, CUTOFF + 1)] * c / table_den[ctx]
+    new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    contexts, group = ctx[new], np.cumsum(new) - 1
+    at, sums = context_sums(ctx[seen], c[seen], p[seen])
+    total = np.bincount(group, c, len(contexts))
+    den = np.ones(len(contexts))
+    alpha = np.ones(len(contexts))  # a context that training never saw: the unigram itself
+    place = np.searchsorted(contexts, at)
+    den[place], alpha[place] = weights(sums, total[place], d, v.kinds)
+    for i in np.flatnonzero(is_hot(contexts, hot)):
+        den[i], alpha[i] = hot_weights.get(int(contexts[i]), (1.0, 1.0))
+    share = d[np.minimum(c, CUTOFF + 1)] * c / den[group]
     with np.errstate(divide="ignore"):
-        return np.log10(np.where(seen, share, table_alpha[ctx] * v.p[cls]))
+        return np.log10(np.where(seen, share, alpha[group] * p))
 
 
 def _scored(vocab, hot: np.ndarray, d: np.ndarray, hot_weights: dict):
@@ -318,22 +406,26 @@ def _scored(vocab, hot: np.ndarray, d: np.ndarray, hot_weights: dict):
     def score(batches):
         v: Vocabulary = vocab.value
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):  # a row is large: one at a time
+                r = batch.slice(k, 1).to_pylist()[0]
                 keys = unpack_sorted(r["keys"], r["n_keys"])
                 c = unpack(r["counts"], np.uint32, r["n_keys"]).astype(np.int64)
                 times = unpack(r["times"], np.uint32, r["n_keys"])
                 docs = unpack(r["docs"], np.int32, r["n"])
                 rows = unpack(r["rows"], np.uint64, r["n_docs"])
-                base = known = None
-                if r["kind"] == BIGRAMS:
-                    logs = class_logs((keys >> _BITS).astype(np.int64), (keys & np.uint64((1 << 17) - 1)).astype(np.int64), c, v, d, hot, hot_weights)
-                else:
-                    base = np.bincount(docs, np.repeat(np.log10(c + 1.0), times), len(rows))
-                    known = np.bincount(docs, np.repeat(c > 0, times), len(rows)).astype(np.int32)
-                    logs = np.log10((c + 1.0) / v.rare_size)
+                tok = unpack(r["toks"], np.uint64, r["n_keys"])
+                short = tok < NUMBERS
+                n = v.counts_of(tok, unpack(r["others"], np.int64, int((~short).sum())))
+                logs = bigram_logs(keys, c, v.unigram(tok, n), v, d, hot, hot_weights)
+                there = docs[np.repeat(~short, times)]
+                base = np.bincount(there, np.repeat(np.log10(n[~short] + 1.0), times[~short]), len(rows))
+                known = np.bincount(there, np.repeat(n[~short] > 0, times[~short]), len(rows)).astype(np.int32)
+                del r, keys, tok, short, n, c, there
                 total = np.bincount(docs, np.repeat(logs, times), len(rows))
+                del docs, logs, times
+                pa.default_memory_pool().release_unused()
                 # a row's blocks may name it more than once
-                cols = [rows.view(np.int64), total, base if base is not None else np.zeros(len(rows)), known if known is not None else np.zeros(len(rows), np.int32)]
+                cols = [rows.view(np.int64), total, base, known]
                 for i in range(0, len(rows), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in cols], schema=out)
 
@@ -361,7 +453,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     unigrams = materialise(train.select("text").mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "katz-unigrams")
     total, kinds = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_train, n_all = slim.agg(F.count(F.when(~F.col("held_out"), 1)), F.count("*")).first()
-    size = min(vocabulary, (1 << 17) - 3)
+    size = min(vocabulary, NUMBERS - 2)
     # The count that the last word of the vocabulary has, from the table of distinct counts: tasks then send few words.
     least, left = 1, size
     for r in unigrams.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).toLocalIterator():
@@ -374,11 +466,13 @@ def score_texts(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     v = Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, kinds, n_train)
     tokens = (total + n_train) * max(1, n_all) // max(1, n_train) + n_all
     parts = max(LEAST_PARTITIONS, -(-tokens // PARTITION))
-    rare_parts = max(1, parts // 6)
     hot = v.counts > v.n / (8 * parts)  # 8 * parts contexts at most
     shared = spark.sparkContext.broadcast(v)
-    dealt = slim.mapInArrow(_dealt(shared, hot, parts, rare_parts), _PIECES_SQL)
-    table = materialise(dealt.repartition(parts + rare_parts, "pid").mapInArrow(_merged(shared, hot), _TABLE_SQL), "katz-ngrams")
+    dealt = slim.mapInArrow(_dealt(shared, hot, parts), _PIECES_SQL)
+    if kinds > len(v.words):
+        wanted = slim.select("text").mapInArrow(_wanted(shared, hot, parts), "pid int, word long").distinct()
+        dealt = dealt.unionAll(wanted.join(unigrams.hint("merge"), "word").select("pid", "word", "n").mapInArrow(_sent, _PIECES_SQL))
+    table = materialise(dealt.repartition(parts, "pid").mapInArrow(_merged(shared, hot), _TABLE_SQL), "katz-ngrams")
     n_r = [0] * (CUTOFF + 1)
     sums: dict[int, np.ndarray] = {}
     # one short row a partition: CUTOFF + 1 counts, and CUTOFF + 4 numbers for each hot context
@@ -389,10 +483,10 @@ def score_texts(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", te
     d = discounts(n_r)
     hot_weights = {}
     for k, x in sums.items():
-        den, alpha = weights(x[None, :], np.array([float(v.counts[k])]), d, len(v.p))
+        den, alpha = weights(x[None, :], np.array([float(v.counts[k])]), d, v.kinds)
         hot_weights[k] = float(den[0]), float(alpha[0])
-    sides = ["kind", "n", "n_keys", "n_docs", "keys", "counts", "times", "docs", "rows"]
-    part = table.where(F.col("kind") != DOCS).select(*sides).mapInArrow(_scored(shared, hot, d, hot_weights), "row_key long, score double, base double, known int")
+    sides = ["kind", "n", "n_keys", "n_docs", "keys", "toks", "others", "counts", "times", "docs", "rows"]
+    part = table.where(F.col("kind") == BIGRAMS).select(*sides).mapInArrow(_scored(shared, hot, d, hot_weights), "row_key long, score double, base double, known int")
     part = part.groupBy("row_key").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
     meta = table.where(F.col("kind") == DOCS).select("n", "n_docs", "rows", "body").mapInArrow(_documents, "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double")
     # Rows repeated in full share a key and summed alike: each gets its share.

@@ -89,7 +89,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     weight = sum(seen[i][0] for i in hits)
     near = sum(any(x[1] for x in seen[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
     size = max(1, len(text))
-    upper = sum(map(str.isupper, text)) if len(text) < 64 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    upper = len(re.findall(r"[A-Z]", text)) if text.isascii() else sum(map(str.isupper, text))
     return [
         len(hits), len(hits) / n, weight, weight / n, max((seen[i][0] for i in hits), default=0.0), near, near / n,
         sum(x[1] for x in seen) / n, upper / size, sum(w.isupper() and len(w) > 1 for w in words) / n, text.count("!") / size,

@@ -128,6 +128,19 @@ class Ring:
         """Masks of the run and of each choice of parts outside it that may all be equal."""
         return np.array([self.run_masks[start] | np.bitwise_or.reduce(self.masks[[(start + x) % self.m for x in c]]) if c else self.run_masks[start] for c in self.choices])
 
+    def chained(self, start: int, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, column) of fingerprints that agree on the run from ``start`` and pass all longer lengths of the
+        chain but the last, which is the full check. Each length looks only at what the ones before left."""
+        part = (start + self.run) % self.m
+        total = np.bitwise_count((rows[:, None] ^ columns[None]) & self.masks[part])
+        a, b = np.nonzero(total <= self.bound[min(self.run + 1, self.m)])
+        total = total[a, b]
+        for length in range(self.run + 2, self.m):
+            total = total + np.bitwise_count((rows[a] ^ columns[b]) & self.masks[(start + length - 1) % self.m])
+            keep = total <= self.bound[length]
+            a, b, total = a[keep], b[keep], total[keep]
+        return a, b
+
     def linked(self, start: np.ndarray | int, x: np.ndarray) -> np.ndarray:
         """Whether the differences x pass the chain test from ``start`` and then the full check."""
         ok = np.ones(x.shape, bool)
@@ -166,14 +179,12 @@ def _forest(fps: np.ndarray, ring: Ring, start: int) -> tuple[np.ndarray, np.nda
             i = up
 
     for lo in range(0, n, 256):
-        # only pairs in ring order whose next part passes reach the full count
-        x = fps[lo : lo + 256, None] ^ fps[None, lo:]
-        near = np.bitwise_count(x) <= ring.tau
-        a, b = np.nonzero(near)
+        # only pairs that pass the chain's further lengths reach the full count
+        a, b = ring.chained(start, fps[lo : lo + 256], fps[lo:])
         keep = a < b
-        a, b = a[keep], b[keep]
-        keep = ring.linked(start, x[a, b])
         a, b = a[keep] + lo, b[keep] + lo
+        keep = np.bitwise_count(fps[a] ^ fps[b]) <= ring.tau
+        a, b = a[keep], b[keep]
         while len(a):
             ra, rb = find(a), find(b)
             open_ = ra != rb

@@ -3,30 +3,36 @@
 * ``shared_dir`` / ``materialise``: intermediate tables live in the folder that the
   cluster shares (``spark.checkpoint.dir``), so a lost executor costs a re-read, not data.
 * ``flat``: an Arrow string column as one byte buffer plus offsets, without Python objects.
-* ``Roller``: rolling hashes of any byte ranges of a buffer, by prefix sums modulo 2**64.
+* ``word_hashes``, ``digests``: hashes by which words and texts are told apart.
+* ``Roller``: rolling hashes of byte ranges, by prefix sums modulo 2**64. Different texts of some hundred
+  bytes can be made to collide, so these may choose and prune, but never decide that bytes are equal.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a "word" as the contracts define it: all but blank and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; set to a default only where it is unset."""
+    """The folder named in spark.checkpoint.dir. Where it is unset: a temporary folder if the master is local
+    (one machine holds everything), else an error, as no machine's own folder is seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = DEFAULT_SHARED_DIR
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -41,6 +47,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unlike(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be unlike all columns of ``df``."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        out.append(name)
+        there.add(name.lower())
+    return out
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While this holds, Arrow batches have at most so many rows (texts may be long, and a worker holds a batch at a
+    time). Only what is written inside is affected; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold at most so many rows: texts may be long, and a worker holds a batch at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -109,6 +144,34 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes (XXH3) of byte ranges, a row of two uint64 each."""
+    view, digest = memoryview(np.ascontiguousarray(raw)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+
+#: Words of more bytes than this are hashed one by one.
+_LANES = 4
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: lanes of eight bytes mixed one after another; long words by XXH3."""
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) + np.uint64(0x51ED270B))
+    lanes = np.ndarray((max(0, len(raw)),), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    left = np.flatnonzero(size <= 8 * _LANES)
+    for k in range(_LANES):
+        left = left[size[left] > 8 * k]
+        if not len(left):
+            break
+        spare = np.maximum(8 * (k + 1) - size[left], 0).astype(np.uint64) * np.uint64(8)
+        lane = lanes[starts[left] + 8 * k] << spare  # bytes beyond the word fall off
+        out[left] = mix64(out[left] ^ lane)
+    if len(long := np.flatnonzero(size > 8 * _LANES)):
+        out[long] = digests(raw, starts[long], ends[long])[:, 0]
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (xor-shift and multiply)."""
     with np.errstate(over="ignore"):

@@ -12,9 +12,10 @@ also starts anywhere else in the corpus.
    a core in common. Bins whose core no other context has cannot repeat and are left out.
 3. Open suffixes are range-partitioned by their gram's bytes with sampled splitters (Spark's range
    exchange; ties broken by context, so a very common gram is dealt to several buckets),
-   sorted in each bucket by multikey quicksort, and windows are compared within groups of
-   suffixes that agree on the gram. A group that may reach over a bucket's boundary is
-   compared across boundaries: its windows are counted by hash over all buckets.
+   sorted in each bucket by multikey quicksort, as are the reversed bytes before the anchors.
+   The prefixes that neighbours share in the two orders say which windows of 400 bytes are
+   equal. A group of suffixes that agree on the gram and may reach over a bucket's boundary
+   is compared across boundaries: its windows are counted by 128-bit hash over all buckets.
 4. Runs of repeated windows become byte intervals, merged per document and cut out.
 
 Defined results: null text is empty (0 bytes); texts shorter than ``length`` keep all bytes.
@@ -28,14 +29,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Roller, arrow_rows, chunks, flat, materialise
+from millrace.llm.common import Roller, chunks, digests, flat, materialise, small_batches
 
 LENGTH = 400
-CHUNK = 1 << 18
-SEEDS = (11, 23, 37)
+CHUNK = 1 << 17
+SEEDS = (11, 23)
+#: Mixes a place into a hash.
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 #: Open suffixes of a bucket (about 600 bytes each).
 BUCKET = 10_000
 
@@ -67,31 +71,37 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int):
     gram = length // 2
     if len(raw) < length:
         return None
-    r = [roller(s) for s in SEEDS]
-    h = r[0].prefix(raw)
-    at = np.arange(len(raw) - gram + 1)
-    g = r[0].ranges(h, at, at + gram)
+    r = roller(SEEDS[0])
+    g = r.ranges(r.prefix(raw), at := np.arange(len(raw) - gram + 1), at + gram)
     key = (g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    low = (sliding_min(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    s = np.arange(len(low))
-    row = np.searchsorted(off, s, "right") - 1
-    ok = s + length <= off[row + 1]
-    s, low, row = s[ok], low[ok], row[ok]
-    if not len(s):
+    del at
+    low = (sliding_min(key, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    del key
+    # window starts of each row, whose whole window lies in it
+    first = np.ones(len(low), bool)
+    first[1:] = low[1:] != low[:-1]
+    inside = np.zeros(len(low) + 1, np.int32)
+    whole = np.flatnonzero(off[1:] - off[:-1] >= length)
+    begins, stops = off[whole], off[whole + 1] - length + 1
+    inside[begins] += 1
+    np.subtract.at(inside, stops, 1)
+    inside = np.cumsum(inside[:-1], dtype=np.int32) > 0
+    first[begins] = True
+    s1 = np.flatnonzero(first & inside)
+    if not len(s1):
         return None
-    cut = np.flatnonzero((low[1:] != low[:-1]) | (row[1:] != row[:-1])) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [len(s)]]) - 1
-    a, s1, s2 = low[first], s[first], s[last]
-    c = [x.ranges(p, s1, s2 + length) for x in r[1:] for p in [x.prefix(raw)]]
+    row = np.searchsorted(off, s1, "right") - 1
+    # a run of windows ends before the next one, or with its row's windows
+    s2 = np.minimum(np.append(s1[1:], len(low)) - 1, off[row + 1] - length)
+    a = low[s1].astype(np.int64)
+    c = digests(raw, s1, s2 + length)
     # where the anchor stands in its context is part of the context
-    return row[first], a, s1, s2, g[a], c[0] ^ (a - s1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), c[1]
+    return row, a, s1, s2, g[a], c[:, 0] ^ (a - s1).astype(np.uint64) * _PLACE, c[:, 1]
 
 
 def _row_keys(ids: list, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """64 bits that stand for a row: its id and its text."""
-    h = roller(5)
-    text = h.ranges(h.prefix(raw), off[:-1], off[1:])
+    text = digests(raw, off[:-1], off[1:])[:, 0]
     own = np.array([hash_id(x) for x in ids], np.uint64)
     with np.errstate(over="ignore"):
         return ((text * np.uint64(0xD6E8FEB86659FD93)) ^ own).view(np.int64)
@@ -153,19 +163,28 @@ def _opened(length: int):
     return run
 
 
-def multikey_order(strings: list[bytes]) -> np.ndarray:
-    """Order of byte strings by multikey quicksort on words of eight bytes: each pass sorts all groups that
-    still tie by their next word at once."""
-    n = len(strings)
+def packed(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of a matrix, padded with zeros to whole words of eight bytes, and their sizes."""
     size = np.array([len(s) for s in strings], np.int64)
     width = int(size.max(initial=0)) // 8 * 8 + 8
-    body = np.zeros((n, width), np.uint8)
+    body = np.zeros((len(strings), width), np.uint8)
     body[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    return body, size
+
+
+def multikey_order(body: np.ndarray, size: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Order of byte strings (inside their groups, if given) by multikey quicksort on words of eight bytes: each pass
+    sorts all groups that still tie by their next word at once."""
+    n = len(size)
     words_of = body.view(">u8")
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)
+    order = np.arange(n) if group is None else np.argsort(group, kind="stable")
+    if group is None:
+        group = np.zeros(n, np.int64)
+    else:
+        ranked = group[order]
+        group = np.searchsorted(ranked, ranked)  # the first place of each group
     open_ = np.arange(n)  # places whose group has more than one member
-    for k in range(width // 8):
+    for k in range(body.shape[1] // 8):
         if len(open_) < 2:
             break
         words = words_of[order[open_], k].astype(np.uint64)
@@ -182,13 +201,52 @@ def multikey_order(strings: list[bytes]) -> np.ndarray:
     return order
 
 
-def _window_hashes(text: bytes, before: int, live: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows of a context in its live bins, and two hashes of each, mixed with the anchor's place."""
-    raw = np.frombuffer(text, np.uint8)
-    s = np.arange(before + 1)
-    s = s[(s + length <= len(raw)) & ((live >> (before - s) // max(1, length // BINS)) & 1 == 1)]
-    tag = (before - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return s, *(r.ranges(r.prefix(raw), s, s + length) ^ tag for r in (roller(SEEDS[1]), roller(SEEDS[2])))
+def common_prefixes(body: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each string shares with the one before it in the order; -1 for the first."""
+    out = np.full(len(order), -1, np.int64)
+    for lo in range(1, len(order), 1024):
+        here, there = order[lo : lo + 1024], order[lo - 1 : lo + 1023][: len(order[lo : lo + 1024])]
+        differ = body[here] != body[there]
+        same = np.where(differ.any(1), differ.argmax(1), body.shape[1])
+        out[lo : lo + 1024] = np.minimum(same, np.minimum(size[here], size[there]))
+    return out
+
+
+def repeated_windows(suffix: list[bytes], before: list[bytes], copies: np.ndarray, live: np.ndarray, length: int):
+    """Which windows of the contexts (bytes before the anchor, and from it on) repeat among them.
+
+    Windows whose anchor stands at the same place d are equal where the contexts share ``length - d`` bytes from the
+    anchor on and d bytes before it: both are read off the sorted orders of the suffixes and of the reversed bytes
+    before them, by the prefixes that neighbours share. Returns the suffixes' order, the groups that agree on the gram
+    (by context), first and last start of a repeated window of each context (-1: none), and for each d the windows as
+    (contexts, class of equal windows, copies in the class)."""
+    gram, width = length // 2, max(1, length // BINS)
+    body, size = packed(suffix)
+    order = multikey_order(body, size)
+    shared = common_prefixes(body, size, order)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(shared < gram)
+    body, room = packed([x[::-1] for x in before])
+    back = multikey_order(body, room, group)
+    shared_back = common_prefixes(body, room, back)
+    shared_back[np.flatnonzero(group[back][1:] != group[back][:-1]) + 1] = -1
+    first = np.full(len(order), -1, np.int64)
+    last = np.full(len(order), -1, np.int64)
+    classes = []
+    left, right = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    for d in range(length - gram + 1):
+        at = np.flatnonzero((d <= room) & (length - d <= size) & (live >> (d // width) & 1 == 1))
+        if not len(at):
+            continue
+        right[order] = np.cumsum(shared < length - d)
+        left[back] = np.cumsum(shared_back < d)
+        _, of = np.unique(right[at] * (len(order) + 1) + left[at], return_inverse=True)
+        total = np.bincount(of, copies[at]).astype(np.int64)
+        again = at[total[of] > 1]
+        last[again] = np.where(last[again] < 0, room[again] - d, last[again])  # starts fall as d grows
+        first[again] = room[again] - d
+        classes.append((d, at, of, total))
+    return order, group, first, last, classes
 
 
 _FOUND = "gram long, c0 long, c1 long, a int, b int, w0 long, w1 long, copies long, sure boolean"
@@ -196,41 +254,11 @@ _FOUND_ARROW = pa.schema([("gram", pa.int64()), ("c0", pa.int64()), ("c1", pa.in
 
 
 def _sorted_buckets(length: int):
-    """Sorts a bucket's suffixes and compares windows inside groups that agree on the gram.
+    """Sorts a bucket's suffixes and finds the windows that repeat in it.
 
     Each context gets one row (sure) with its first and last window that repeats in the bucket. The first and
     last group may go on in the next bucket: their windows that are single here, and one row for each that
-    repeats (a = -1), come with hashes for the comparison across boundaries."""
-    gram = length // 2
-
-    def compared(at, suffix, before, info, border):
-        g, c0, c1, copies, live = info
-        hashes = [_window_hashes(before[i] + suffix[i], len(before[i]), int(live[i]), length) for i in at]
-        n = np.array([len(x[0]) for x in hashes])
-        if not n.sum():
-            return
-        who = np.repeat(at, n)
-        spot, w0, w1 = (np.concatenate([x[y] for x in hashes]) for y in (0, 1, 2))
-        by = np.lexsort((w1, w0))
-        new = np.ones(len(by), bool)
-        new[1:] = (w0[by][1:] != w0[by][:-1]) | (w1[by][1:] != w1[by][:-1])
-        start = np.flatnonzero(new)
-        total = np.add.reduceat(copies[who[by]], start)
-        again = np.zeros(len(who), bool)
-        again[by] = np.repeat(total > 1, np.diff([*start, len(by)]))
-        if again.any():
-            w, many = np.unique(who[again], return_counts=True)
-            x = spot[again]  # ascending within a context, whose windows stand together
-            place = np.argsort(who[again], kind="stable")
-            first = np.cumsum(many) - many
-            low, high = x[place][first], x[place][first + many - 1]
-            none = np.zeros(len(w), np.int64)
-            yield g[w], c0[w], c1[w], low, high, none, none, copies[w], np.ones(len(w), bool)
-        if border:
-            one = by[start]
-            w = who[one]
-            mark = np.where(total > 1, -1, spot[one])
-            yield g[w], c0[w], c1[w], mark, mark, w0[one].view(np.int64), w1[one].view(np.int64), total, np.zeros(len(w), bool)
+    repeats (a = -1), come with 128-bit hashes for the comparison across boundaries."""
 
     def run(batches):
         suffix, before, rest = [], [], []
@@ -240,18 +268,26 @@ def _sorted_buckets(length: int):
             rest.append([np.asarray(batch.column(c)) for c in ("gram", "c0", "c1", "copies", "live")])
         if not suffix:
             return
-        info = tuple(map(np.concatenate, zip(*rest, strict=True)))
-        order = multikey_order(suffix)
-        lead = [suffix[i][:gram] for i in order]
-        edges = np.array([0, *[i for i in range(1, len(lead)) if lead[i] != lead[i - 1]], len(lead)])
-        for k in range(len(edges) - 1):
-            at = order[edges[k] : edges[k + 1]]
-            border = k == 0 or k == len(edges) - 2
-            if len(at) == 1 and not border:
+        g, c0, c1, copies, live = map(np.concatenate, zip(*rest, strict=True))
+        order, group, first, last, classes = repeated_windows(suffix, before, copies, live, length)
+        at = np.flatnonzero(first >= 0)
+        none = np.zeros(len(at), np.int64)
+        yield from rows(g[at], c0[at], c1[at], first[at], last[at], none, none, copies[at], np.ones(len(at), bool))
+        border = (group == group[order[0]]) | (group == group[order[-1]])
+        for d, at, of, total in classes:
+            _, one = np.unique(of, return_index=True)  # a member of each class
+            one = one[border[at[one]]]
+            w, n = at[one], total[of[one]]
+            if not len(w):
                 continue
-            for cols in compared(at, suffix, before, info, border):
-                for i in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], f.type) for x, f in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+            texts = [before[i][len(before[i]) - d :] + suffix[i][: length - d] for i in w.tolist()]
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.int64).reshape(-1, 2)
+            start = np.where(n > 1, -1, [len(before[i]) - d for i in w.tolist()])
+            yield from rows(g[w], c0[w], c1[w], start, start, h[:, 0] ^ np.int64(d), h[:, 1], n, np.zeros(len(w), bool))
+
+    def rows(*cols):
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], f.type) for x, f in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
     return run
 
@@ -349,8 +385,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    arrow_rows(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = materialise(repeated_spans(slim, length=length), "suffix-spans")
-    texts = slim.mapInArrow(_keyed(), "doc_id long, text string, row_key long")
-    return _joined(texts, spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    with small_batches(docs.sparkSession):
+        spans = materialise(repeated_spans(slim, length=length), "suffix-spans")
+        texts = slim.mapInArrow(_keyed(), "doc_id long, text string, row_key long")
+        out = _joined(texts, spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return materialise(out, "suffix-removed")

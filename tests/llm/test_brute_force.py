@@ -78,7 +78,7 @@ def test_suffix_dedup_table(spark, sf_dir):
 def test_multikey_order():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 30))) for _ in range(500)] + [b"a" * 40] * 5
-    order = suffix_dedup.multikey_order(strings)
+    order = suffix_dedup.multikey_order(*suffix_dedup.packed(strings))
     assert [strings[i] for i in order] == sorted(strings)
 
 

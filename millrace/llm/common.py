@@ -76,14 +76,6 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold at most so many rows: texts may be long, and a worker holds a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def id_crc(doc_id: Column | str) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

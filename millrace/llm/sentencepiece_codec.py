@@ -30,9 +30,15 @@ from millrace.llm.common import chunks, flat, mix64
 
 BLANK = "▁"
 UNKNOWN = 10.0
-CHUNK = 1 << 20
+#: Bytes of text that are encoded, and ids that are decoded, at a time.
+CHUNK = 3 << 20
+BLOCK = 1 << 18
 #: Distinct words that a Python worker remembers between batches.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Words of more characters than this are taken one by one, in blocks of so many characters.
+LONG = 512
+#: Bits of a hash by which most substrings are told not to be pieces before the sorted keys are searched.
+SIEVE = 17
 #: Longest words that advance together in one matrix; longer ones are taken in blocks of the same bytes.
 MATRIX = 1 << 22
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,12 +79,16 @@ class Vocabulary:
 
     def __init__(self, model: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
+        settings = {}
         for number, value in _fields(model):
+            if number in (2, 3):
+                settings[number] = dict(_fields(value))
             if number == 1:
                 f = dict(_fields(value))
                 self.pieces.append(f.get(1, b"").decode())
                 self.scores.append(float(np.frombuffer(f[2], "<f4")[0]) if 2 in f else 0.0)
                 self.kinds.append(f.get(3, 1))
+        self._check(settings)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == self.BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
@@ -89,15 +99,45 @@ class Vocabulary:
         self.by_text = {self.pieces[i]: (self.scores[i], i) for i in usable}
         self.longest = max(len(self.pieces[i]) for i in usable)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.sieves: dict[int, np.ndarray] = {}
         for n in range(1, self.longest + 1):
             ids = np.array([i for i in usable if len(self.pieces[i]) == n], np.int64)
             if not len(ids):
                 continue
             cps = np.frombuffer("".join(self.pieces[i] for i in ids).encode("utf-32-le"), np.uint32).reshape(len(ids), n)
-            key = mix64(_hashes(cps)[1][:, n])
+            key = _hashes(cps.T)[n]
             order = np.argsort(key)
             self.tables[n] = key[order], np.array(self.scores)[ids[order]], ids[order]
+            self.sieves[n] = np.zeros(1 << SIEVE, bool)
+            self.sieves[n][key >> np.uint64(64 - SIEVE)] = True
         self.as_bytes = [bytes([int(p[3:5], 16)]) if k == self.BYTE else b"" if k in (self.UNK, self.CONTROL) else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.flat = np.frombuffer(b"".join(self.as_bytes), np.uint8)
+        self.sizes = np.array([len(x) for x in self.as_bytes], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+
+    @staticmethod
+    def _check(settings: dict[int, dict]) -> None:
+        """Only texts as they are, with blanks as marks and one mark in front, are encoded here: other settings are refused."""
+        trainer, normalizer = settings.get(2, {}), settings.get(3, {})
+        odd = {
+            "a table of character replacements": normalizer.get(2, b""),
+            "no mark in front": not normalizer.get(3, 1),
+            "removal of blanks": normalizer.get(4, 1),
+            "blanks that are not marked": not normalizer.get(5, 1),
+            "marks after words": trainer.get(24, 0),
+            "no byte pieces for unknown characters": not trainer.get(35, 0),
+            "a kind other than unigram or BPE": trainer.get(3, 1) not in (1, 2),
+        }
+        if found := [k for k, v in odd.items() if v]:
+            raise ValueError(f"the model asks for {', '.join(found)}")
+
+    def probe(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the hashes of substrings of n characters: which are pieces, and their rows in the sorted table."""
+        table = self.tables[n][0]
+        some = np.flatnonzero(self.sieves[n][keys >> np.uint64(64 - SIEVE)])
+        at = np.minimum(np.searchsorted(table, keys[some]), len(table) - 1)
+        there = table[at] == keys[some]
+        return some[there], at[there]
 
 
 _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -112,73 +152,138 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
-def _hashes(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hashes of each row of code points; [:, j] covers the first j."""
-    up, _ = _powers(cps.shape[1] + 1)
-    h = np.zeros((cps.shape[0], cps.shape[1] + 1), np.uint64)
-    np.cumsum(mix64(cps.astype(np.uint64) + np.uint64(0x51ED270B)) * up[: cps.shape[1]], axis=1, out=h[:, 1:])
-    return cps, h
+def _hashes(cps: np.ndarray) -> np.ndarray:
+    """Prefix hashes of each column of code points; row j covers the first j. Only ranges as long as a piece are compared."""
+    up, _ = _powers(cps.shape[0] + 1)
+    h = np.zeros((cps.shape[0] + 1, cps.shape[1]), np.uint64)
+    np.cumsum(mix64(cps.astype(np.uint64) + np.uint64(0x51ED270B)) * up[: cps.shape[0], None], axis=0, out=h[1:])
+    return h
 
 
-def viterbi(cps: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For words of equal length n, as rows of code points: back-pointers (length of the piece that ends at
-    each position) and its id (-1: a character without a piece)."""
-    m, n = cps.shape
-    h = _hashes(cps)[1]
+def found_pieces(cps: np.ndarray, v: Vocabulary) -> list[list[tuple]]:
+    """For words of equal length n, as columns of code points: for each end position, the pieces that end there, as
+    (length, columns, scores, ids) by ascending length."""
+    n, m = cps.shape
+    h = _hashes(cps)
     _, down = _powers(n + 1)
-    best = np.full((m, n + 1), -np.inf)
-    best[:, 0] = 0
-    back = np.ones((m, n + 1), np.int32)
-    ids = np.full((m, n + 1), -1, np.int64)
-    for j in range(1, n + 1):
-        best[:, j] = best[:, j - 1] + v.unknown
-        for length in range(1, min(j, v.longest) + 1):
-            if length not in v.tables:
-                continue
-            keys, scores, pieces = v.tables[length]
-            i = j - length
-            key = mix64((h[:, j] - h[:, i]) * down[i])
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            total = np.where(keys[at] == key, best[:, i] + scores[at], -np.inf)
-            won = total >= best[:, j] if length > 1 else total > -np.inf
-            best[:, j] = np.where(won, total, best[:, j])
-            back[:, j] = np.where(won, length, back[:, j])
-            ids[:, j] = np.where(won, pieces[at], ids[:, j])
+    out: list[list[tuple]] = [[] for _ in range(n + 1)]
+    for length in range(1, min(n, v.longest) + 1):
+        if length not in v.tables:
+            continue
+        _, scores, pieces = v.tables[length]
+        some, at = v.probe(length, ((h[length:] - h[:-length]) * down[: n - length + 1, None]).ravel())
+        cut = np.searchsorted(some, np.arange(n - length + 2) * m)
+        for i in np.flatnonzero(cut[1:] > cut[:-1]):
+            part = slice(cut[i], cut[i + 1])
+            out[i + length].append((length, some[part] - i * m, scores[at[part]], pieces[at[part]]))
+    return out
+
+
+def viterbi(cps: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For words of equal length, as columns of code points: back-pointers (length of the piece that ends at each
+    position) and its id (-1: a character without a piece)."""
+    n, m = cps.shape
+    best = np.zeros((n + 1, m))
+    back = np.ones((n + 1, m), np.int32)
+    ids = np.full((n + 1, m), -1, np.int32)
+    for j, ending in enumerate(found_pieces(cps, v)):
+        if j:
+            best[j] = best[j - 1] + v.unknown
+        for length, at, score, piece in ending:
+            total = best[j - length][at] + score
+            if length > 1:
+                won = total >= best[j][at]
+                at, total, piece = at[won], total[won], piece[won]
+            best[j][at] = total
+            back[j][at] = length
+            ids[j][at] = piece
     return back, ids
 
 
+def segment_long(word: str, v: Vocabulary) -> list[int]:
+    """The same for one long word, a block of characters at a time: ids, -1 - c for a character c without a piece."""
+    cps = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(cps)
+    best, back, ids = [0.0] * (n + 1), bytearray(n + 1), [-1] * (n + 1)
+    for lo in range(0, n, LONG):  # pieces that start before the block are found in the block before
+        part = cps[lo : lo + LONG + v.longest - 1]
+        h = _hashes(part[:, None])[:, 0]
+        _, down = _powers(len(part) + 1)
+        starts: dict[int, list[tuple]] = {}
+        for length in range(1, min(len(part), v.longest) + 1):
+            if length in v.tables:
+                _, scores, pieces = v.tables[length]
+                some, at = v.probe(length, (h[length:] - h[:-length]) * down[: len(part) - length + 1])
+                inside = some < LONG
+                for i, s, k in zip(some[inside].tolist(), scores[at[inside]].tolist(), pieces[at[inside]].tolist(), strict=True):
+                    starts.setdefault(i, []).append((length, s, k))
+        for i in range(lo, min(lo + LONG, n)):
+            reach = starts.get(i - lo, ())
+            base = best[i]
+            if not (reach and reach[0][0] == 1) and (back[i + 1] == 0 or base + v.unknown > best[i + 1]):
+                best[i + 1], back[i + 1], ids[i + 1] = base + v.unknown, 1, -1
+            for length, score, k in reach:
+                j = i + length
+                if back[j] == 0 or base + score > best[j]:
+                    best[j], back[j], ids[j] = base + score, length, k
+    out, j = [], n
+    while j:
+        out.append(ids[j] if ids[j] >= 0 else -1 - int(cps[j - 1]))
+        j -= back[j]
+    return out[::-1]
+
+
 def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
     """Ids of each word; equal-length words go through ``viterbi`` together."""
+    return [np.frombuffer(x, np.int32) for x in encoded_words(words, v)]
+
+
+def _spelt(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Byte pieces in place of the characters without a piece (-1 - c)."""
+    if (ids >= 0).all():
+        return ids
+    return np.array([y for k in ids.tolist() for y in ([k] if k >= 0 else [v.bytes[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")])], np.int32)
+
+
+def encoded_words(words: list[str], v: Vocabulary) -> list[bytes]:
+    """Ids of each word as the bytes of int32."""
     out: list = [None] * len(words)
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for n, at in by.items():
+        if n > LONG:
+            for i in at:
+                out[i] = _spelt(np.array(segment_long(words[i], v), np.int64), v).astype(np.int32).tobytes()
+            continue
         step = max(1, MATRIX // (n + 1) // 8)
         for lo in range(0, len(at), step):
             some = at[lo : lo + step]
-            text = "".join(words[i] for i in some)
-            cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n)
+            text = "".join([words[i] for i in some])
+            cps = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n).T)
             back, ids = viterbi(cps, v)
-            row, pos = np.arange(len(some)), np.full(len(some), n)
-            rows, places, found, chars = [], [], [], []
-            while len(row):  # all words step back together
-                rows.append(row)
+            col, pos = np.arange(len(some)), np.full(len(some), n)
+            cols, places, found = [], [], []
+            while len(col):  # all words step back together
+                piece = ids[pos, col]
+                bare = piece < 0
+                if bare.any():
+                    piece[bare] = -1 - cps[pos[bare] - 1, col[bare]].astype(np.int32)
+                cols.append(col)
                 places.append(pos)
-                found.append(ids[row, pos])
-                chars.append(cps[row, pos - 1])
-                pos = pos - back[row, pos]
-                row, pos = row[pos > 0], pos[pos > 0]
-            row, pos, piece, ch = map(np.concatenate, (rows, places, found, chars))
-            order = np.lexsort((pos, row))
-            row, piece, ch = row[order], piece[order], ch[order]
-            cut = np.searchsorted(row, np.arange(len(some) + 1))
+                found.append(piece)
+                pos = pos - back[pos, col]
+                left = pos > 0
+                col, pos = col[left], pos[left]
+            col, pos, piece = map(np.concatenate, (cols, places, found))
+            order = np.argsort(col * (n + 1) + pos, kind="stable")
+            col, piece = col[order], piece[order]
+            cut = np.searchsorted(col, np.arange(len(some) + 1)).tolist()
+            body = piece.astype(np.int32).tobytes()
             for x, i in enumerate(some):
-                p = piece[cut[x] : cut[x + 1]]
-                if (p < 0).any():
-                    c = ch[cut[x] : cut[x + 1]]
-                    p = np.array([y for k, z in zip(p.tolist(), c.tolist(), strict=True) for y in ([k] if k >= 0 else [v.bytes[b] for b in chr(z).encode("utf-8", "surrogatepass")])], np.int64)
-                out[i] = p.astype(np.int32)
+                out[i] = body[4 * cut[x] : 4 * cut[x + 1]]
+            for x in set(col[piece < 0].tolist()):
+                out[some[x]] = _spelt(piece[cut[x] : cut[x + 1]], v).tobytes()
     return out
 
 
@@ -196,47 +301,57 @@ def split(text: str) -> list[str]:
 
 
 class Codec:
-    """Encodes and decodes; remembers up to REMEMBERED words."""
+    """Encodes and decodes; remembers the words of late, REMEMBERED at most."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.known: dict[str, bytes] = {}  # ids as int32
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the bytes of int32."""
         parts = [split(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.known})
-        table = self.known
+        table, new = {}, []
+        for w in set().union(*parts):
+            if (ids := self.known.get(w) or self.older.get(w)) is None:
+                new.append(w)
+            else:
+                table[w] = ids
         if new:
-            ids = self._marked(new) if any(_MARK in w for w in new) else encode_words(new, self.v)
-            if len(table) + len(new) > REMEMBERED:
-                if len(new) < REMEMBERED // 2:
-                    self.known = {}
-                table = {w: table[w] for p in parts for w in p if w in table}
-            table.update((w, x.tobytes()) for w, x in zip(new, ids, strict=True))
-            if len(table) <= REMEMBERED:
-                self.known = table
+            ids = self._marked(new) if any(_MARK in w for w in new) else encoded_words(new, self.v)
+            table.update(zip(new, ids, strict=True))
+        if len(self.known) + len(table) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        if len(table) <= REMEMBERED // 2:
+            self.known.update(table)
         get = table.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
-
-    def _marked(self, words: list[str]) -> list[np.ndarray]:
-        """As encode_words, but the blank marks of the text become byte pieces."""
-        mark = np.array([self.v.bytes[b] for b in BLANK.encode()], np.int32)
-        ids = encode_words([x for w in words for x in w.split(_MARK) if x], self.v)
-        out, at = [], 0
-        for w in words:
-            row = []
-            for k, x in enumerate(w.split(_MARK)):
-                if k:
-                    row.append(mark)
-                if x:
-                    row.append(ids[at])
-                    at += 1
-            out.append(np.concatenate(row).astype(np.int32))
-        return out
+        return [b"".join(map(get, p)) for p in parts]
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """As encoded_words, but the blank marks of the text become byte pieces."""
+        mark = np.array([self.v.bytes[b] for b in BLANK.encode()], np.int32).tobytes()
+        parts = [w.split(_MARK) for w in words]
+        got = iter(encoded_words([x for p in parts for x in p if x], self.v))
+        return [mark.join([next(got) if x else b"" for x in p]) for p in parts]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The UTF-8 bytes of texts whose ids stand one after another up to ``ends``, and the end of each in the bytes.
+        Each text keeps the blank of the mark in front of it."""
+        out, at, done = [], 0, []
+        for lo in range(0, len(ids), BLOCK):
+            some = ids[lo : lo + BLOCK]
+            size = self.v.sizes[some]
+            upto = np.cumsum(size)
+            place = np.repeat(self.v.places[some] - (upto - size), size) + np.arange(upto[-1])
+            out.append(self.v.flat[place].tobytes())
+            done.append(upto + at)
+            at += int(upto[-1])
+        upto = np.concatenate([np.zeros(1, np.int64), *done])
+        return b"".join(out), upto[ends]
 
     def decode(self, ids: np.ndarray) -> str:
-        data = b"".join([self.v.as_bytes[i] for i in ids.tolist()])
-        return data.decode("utf-8", "surrogatepass")[1:] if len(ids) else ""
+        data, _ = self.decode_all(np.asarray(ids, np.int32), np.array([len(ids)]))
+        return data.decode("utf-8", "surrogatepass")[1:]
 
 
 def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
@@ -262,8 +377,8 @@ def _encoded(model, text_col: str, passed: list[str]):
             at = 0
             for texts in text_list(batch.column(text_col)):
                 ids = codec.encode(texts)
-                off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                body = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                off = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                body = np.frombuffer(b"".join(ids), np.int32)
                 cols = [batch.column(c).slice(at, len(texts)) for c in passed]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(off), pa.array(body)), pa.array(np.diff(off).astype(np.int64))], names=[*passed, "input_ids", "n_tokens"])
@@ -310,15 +425,11 @@ def _digested(model):
             at = 0
             for texts in text_list(batch.column("text")):
                 ids = codec.encode(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(texts)),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]),
-                        pa.array([codec.decode(x) == t for x, t in zip(ids, texts, strict=True)]),
-                    ],
-                    schema=out,
-                )
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                data, ends = codec.decode_all(np.frombuffer(b"".join(ids), np.int32), np.cumsum(n))
+                begins = [0, *ends[:-1].tolist()]
+                same = [data[i + 1 : j] == t.encode("utf-8", "surrogatepass") for i, j, t in zip(begins, ends.tolist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(same)], schema=out)
                 at += len(texts)
 
     return digest

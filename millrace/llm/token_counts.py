@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix64
-from millrace.llm.sentencepiece_codec import _MARK, DEFAULT_MODEL, MATRIX, REMEMBERED, Vocabulary, _hashes, _powers, read_model, split, text_list
+from millrace.llm.sentencepiece_codec import _MARK, DEFAULT_MODEL, LONG, MATRIX, REMEMBERED, Vocabulary, _hashes, _powers, read_model, segment_long, split, text_list
 
 
 def _utf8_length(cps: np.ndarray) -> np.ndarray:
@@ -30,12 +29,16 @@ def trie_counts(words: list[str], v: Vocabulary) -> np.ndarray:
     """Number of pieces of each of the distinct ``words``."""
     size = np.array([len(w) for w in words], np.int64)
     out = np.zeros(len(words), np.int64)
-    order = sorted(range(len(words)), key=words.__getitem__)
+    for i in np.flatnonzero(size > LONG):  # by the same recursion, one at a time
+        ids = segment_long(words[i], v)
+        out[i] = sum(1 if k >= 0 else int(_utf8_length(np.array([-1 - k]))[0]) for k in ids)
+    order = sorted(np.flatnonzero(size <= LONG).tolist(), key=words.__getitem__)
+    sizes = size[order].tolist()
     lo = 0
     while lo < len(order):  # blocks of bounded bytes; long words make small blocks
         hi, width = lo, 1
-        while hi < len(order) and (hi - lo + 1) * (max(width, size[order[hi]]) + 1) * 8 <= MATRIX or hi == lo:
-            width = max(width, int(size[order[hi]]))
+        while hi < len(order) and (hi - lo + 1) * (max(width, sizes[hi]) + 1) * 8 <= MATRIX or hi == lo:
+            width = max(width, sizes[hi])
             hi += 1
         at = np.array(order[lo:hi])
         out[at] = _block([words[i] for i in at], size[at], width, v)
@@ -49,7 +52,7 @@ def _block(words: list[str], size: np.ndarray, width: int, v: Vocabulary) -> np.
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     cps = np.zeros((n, width), np.uint32)
     cps[np.arange(width)[None, :] < size[:, None]] = flat
-    h = _hashes(cps)[1]
+    h = _hashes(cps.T)
     _, down = _powers(width + 1)
     new = np.ones((n, width), bool)
     new[1:] = np.logical_or.accumulate(cps[1:] != cps[:-1], axis=1)
@@ -68,15 +71,15 @@ def _block(words: list[str], size: np.ndarray, width: int, v: Vocabulary) -> np.
         for length in range(1, min(j, v.longest) + 1):
             if length not in v.tables:
                 continue
-            keys, scores, _ = v.tables[length]
             i = j - length
-            key = mix64((h[rows, j] - h[rows, i]) * down[i])
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            above = node[i][rows]
-            total = np.where(keys[at] == key, score[i][above] + scores[at], -np.inf)
-            won = total >= best if length > 1 else total > -np.inf
-            best = np.where(won, total, best)
-            count = np.where(won, pieces[i][above] + 1, count)
+            some, at = v.probe(length, (h[j, rows] - h[i, rows]) * down[i])
+            above = node[i][rows[some]]
+            total = score[i][above] + v.tables[length][1][at]
+            if length > 1:
+                won = total >= best[some]
+                some, above, total = some[won], above[won], total[won]
+            best[some] = total
+            count[some] = pieces[i][above] + 1
         score.append(best)
         pieces.append(count)
         ends = np.flatnonzero(size == j)
@@ -85,22 +88,29 @@ def _block(words: list[str], size: np.ndarray, width: int, v: Vocabulary) -> np.
 
 
 class Counter:
-    """Counts tokens of texts; remembers up to REMEMBERED pre-tokens."""
+    """Counts tokens of texts; remembers the pre-tokens of late, REMEMBERED at most."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> list[int]:
         parts = [split(t) for t in texts]
-        table = self.known
-        new = list({w for p in parts for w in p if w not in table})
+        table, new = {}, []
+        for w in set().union(*parts):
+            if (n := self.known.get(w) or self.older.get(w)) is None:
+                new.append(w)
+            else:
+                table[w] = n
         if new:
             pieces = list({x for w in new for x in w.split(_MARK) if x})
             of = dict(zip(pieces, trie_counts(pieces, self.v).tolist(), strict=True))
-            table = dict(table) if len(table) + len(new) > REMEMBERED else table
             table.update((w, of[w] if _MARK not in w else 3 * w.count(_MARK) + sum(of[x] for x in w.split(_MARK) if x)) for w in new)
-            self.known = table if len(table) <= REMEMBERED else {}
+        if len(self.known) + len(table) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        if len(table) <= REMEMBERED // 2:
+            self.known.update(table)
         get = table.__getitem__
         return [sum(map(get, p)) for p in parts]
 

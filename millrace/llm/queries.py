@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    return exact_dedup.deduplicate_table(_table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ estimates the language proportions; of the nested sets of the most probable lang
 the one with the best penalised likelihood (half the log of the number of words for each
 further language) is kept, and its largest proportion is the prediction.
 
-The broadcast model has ``buckets * languages`` floats; the number of buckets halves until
-that is at most MODEL_BYTES, so its size is bounded however many languages there are.
+The broadcast model has ``2 ** BITS * languages`` floats, half a MB a language, whatever the size
+of the corpus. The distinct languages and one count for each language and bucket reach the driver.
 
 Defined results: null text, or one without a letter, gives ``und`` with score 0; so does
 every text if there is nothing to learn from. Ties go to the language first in code-point
@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import chunks, flat
 
-MODEL_BYTES = 64 << 20
-MAX_BITS = 17
+BITS = 17
 SMOOTHING = 0.3
 CHUNK = 1 << 20
 EM_STEPS = 8
@@ -42,13 +41,6 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def bits_for(languages: int) -> int:
-    bits = MAX_BITS
-    while bits > 8 and (4 * languages << bits) > MODEL_BYTES:
-        bits -= 1
-    return bits
-
-
 def trigrams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each trigram, start of each word among the trigrams, and each word's text number.
 
@@ -106,7 +98,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
     labels = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not labels:
         return Model([], np.zeros((1 << 8, 0), np.float32))
-    bits = bits_for(len(labels))
+    bits = BITS
     counts = rows.mapInArrow(_counted(bits, labels), "bucket int, lang_no int, n long").groupBy("bucket", "lang_no").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((1 << bits, len(labels)))
     table[counts["bucket"].to_numpy(), counts["lang_no"].to_numpy()] = counts["n"].to_numpy()

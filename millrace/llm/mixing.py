@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, materialise
+from millrace.llm.common import WORD, all_of, materialise, unlike
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,8 +94,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it is taken; documents of size 0 take no part."""
+    """The documents of the mix, each as often as it is taken; documents of size 0 take no part.
+
+    A row is known by its id, source and size: rows that agree in all three are taken equally often. Columns of any
+    name are kept."""
     times = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).where(F.col("taken") > 0)
-    times = times.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id"))).where(size_of(F.col(text_col)) > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__copy", "__times", "__id")
+    i, s, n, k = unlike(docs, "__id", "__source", "__size", "__times")
+    times = times.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), (F.col("taken") / F.col("size")).cast("int").alias(k)).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & F.col(f"`{source_col}`").eqNullSafe(F.col(s)) & (size_of(F.col(f"`{text_col}`")) == F.col(n))
+    joined = docs.join(times, same)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*all_of(docs))

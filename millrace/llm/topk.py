@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products of queries and shards.
 
-Queries and base rows are packed into blocks, one Parquet row each. A block of queries
-meets every shard block through an equi-join on a grid key, so neither side is broadcast
-or collected; each tile is one matrix product, from which the k best per query are
+Queries and base rows are packed into blocks, one Parquet row each. Both sides are dealt to a
+grid, sized from the numbers of blocks, where each query block meets every shard block once
+through an equi-join, so neither side is broadcast or collected; each tile is one matrix product, from which the k best per query are
 selected. Per-query top lists are then merged in a tree: inside a task, per group of
 shards, and at last per query.
 
@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, small_batches
 
 QUERY_BLOCK = 1024
 SHARD_BLOCK = 8192
-#: Query blocks are copied to this many groups of shards at most.
-GROUPS = 24
+#: Blocks that a task of the grid holds: query blocks in memory, shard blocks streamed past them.
+QUERIES_A_TASK = 4
+SHARDS_A_TASK = 8
+#: Groups of shards at least, as far as there are shards.
+LEAST_GROUPS = 24
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -149,15 +152,21 @@ def top_k(base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_co
     if k < 1:
         raise ValueError("k must be positive")
     one = quantised(queries, id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    spark = base.sparkSession
     q = materialise(one.mapInArrow(_packed(QUERY_BLOCK), _BLOCKS), "topk-queries")
     s = materialise(quantised(base, id_col, vec_col, scale).mapInArrow(_packed(SHARD_BLOCK), _BLOCKS), "topk-shards")
-    grp = F.pmod(F.xxhash64("ids"), F.lit(GROUPS)).cast("int")
-    s = s.withColumn("grp", grp)
-    q = q.select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("grp"))
-    tiles = s.join(q.hint("shuffle_hash"), ["grp", "dim"])
+    n_q, n_s = q.count(), s.count()
+    rows, cols = max(1, -(-n_q // QUERIES_A_TASK)), max(1, min(n_s, LEAST_GROUPS), -(-n_s // SHARDS_A_TASK))
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    s = s.select("dim", "n", "ids", "body", at("ids", cols).alias("grp"), every(rows).alias("q_grp"))
+    q = q.select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), at("ids", rows).alias("q_grp"), every(cols).alias("grp"))
+    tiles = s.join(q.hint("shuffle_hash"), ["grp", "q_grp", "dim"])
     lists = tiles.select("dim", "grp", "n", "ids", "body", "q_n", "q_ids", "q_body").mapInArrow(_searched(k), "query_id long, vec_id long, score long, grp int")
+    with small_batches(spark, 4):  # rows of several MB
+        lists = materialise(lists, "topk-lists")
     order = [F.col("score").desc(), F.col("vec_id")]
-    for level in ([F.col("query_id"), F.col("grp") % 4], [F.col("query_id")]):
+    for level in ([F.col("query_id"), F.col("grp") % max(1, round(cols**0.5))], [F.col("query_id")]):
         w = Window.partitionBy(*level).orderBy(*order)
         lists = lists.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return lists.select("query_id", "rank", "vec_id", "score")

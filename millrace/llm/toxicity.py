@@ -214,8 +214,9 @@ def _featured(lexicon: dict[str, float]):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """``train_on`` is a condition on ``doc_id``, the id of the labels' rows."""
+def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, lexicon_size: int = LEXICON) -> Model:
+    """``train_on`` is a condition on ``doc_id``, the id of the labels' rows. ``sample``: labelled rows that the model
+    is fitted on, at most. ``lexicon_size``: terms of the lexicon, at most, those of the highest log odds."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & train_on)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     marked = materialise(marked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)).cast("int")), "toxic-sample")
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, *, id_col: str =
     counts = words.select("text", "toxic").mapInArrow(_termed, "term string, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("n"))
     odds = F.log((F.col("a") + 0.1) / (bad - F.col("a") + 0.1)) - F.log((F.col("n") - F.col("a") + 0.1) / (total - bad - F.col("n") + F.col("a") + 0.1))
     rule = counts.where((F.col("a") >= min(MIN_DOCS, max(2, bad // 20))) & (odds >= MIN_LOG_ODDS)).select("term", odds.alias("w"))
-    lexicon = {r["term"]: float(r["w"]) for r in rule.orderBy(F.col("w").desc(), "term").limit(LEXICON).collect()}
+    lexicon = {r["term"]: float(r["w"]) for r in rule.orderBy(F.col("w").desc(), "term").limit(lexicon_size).collect()}
     got = rows.where("part >= 5").mapInArrow(_featured(lexicon), "part int, toxic int, x array<double>").collect()  # at most `sample` rows of len(FEATURES) numbers
     x, y, part = np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["toxic"] for r in got], float), np.array([r["part"] for r in got])
     fit, cal = part < 8, part >= 8

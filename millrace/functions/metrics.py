@@ -32,14 +32,17 @@ def char_scores(df: DataFrame, key: str, output: str, reference: str) -> DataFra
 
 def boundaries(x: Column, typed: bool = True, marks: str = T.MARKS) -> Column:
     """Keys (content index[, mark]) of the marks in a text; the index is the number of word characters before."""
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("out"))
+    x = T.normalize_ws(x)
+    mark = T._class(marks)
+    sizes = F.transform(F.split(x, mark), lambda part: F.length(F.regexp_replace(part, r"[^\p{L}\p{N}_]", "")))
+    found = F.regexp_extract_all(x, F.lit(f"({mark})"), F.lit(1))
 
-    def step(s: Column, c: Column) -> Column:
-        key = F.concat_ws("|", s["i"].cast("string"), c) if typed else s["i"].cast("string")
-        mark = F.instr(F.lit(marks), c) > 0
-        return F.struct((s["i"] + F.when(c.rlike(r"[\p{L}\p{N}_]"), 1).otherwise(0)).alias("i"), F.when(mark, F.concat(s["out"], F.array(key))).otherwise(s["out"]).alias("out"))
+    def keys(z: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(z["sizes"], F.lit(1), i + 1), F.lit(0), lambda n, k: n + k).cast("string")
+        return F.transform(z["found"], lambda c, i: F.concat_ws("|", before(i), c) if typed else before(i))
 
-    return F.aggregate(T.characters(T.normalize_ws(x)), start, step)["out"]
+    # one struct, so that both arrays are worked out once a text and not once a mark
+    return F.transform(F.array(F.struct(sizes.alias("sizes"), found.alias("found"))), keys)[0]
 
 
 def boundary_scores(df: DataFrame, key: str, output: str, reference: str, typed: bool = True) -> DataFrame:

@@ -99,8 +99,9 @@ def count_of(x: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(x, "[^" + _class(chars)[1:], ""))
 
 
-def punctuation_density(x: Column) -> Column:
-    return count_of(x, MARKS) / F.greatest(F.length(x), F.lit(1))
+def punctuation_density(x: Column, normalized: Column) -> Column:
+    """Marks of a text for each character of its normalised form."""
+    return count_of(x, MARKS) / F.greatest(F.length(normalized), F.lit(1))
 
 
 def has_boundary(x: Column) -> Column:
@@ -108,9 +109,9 @@ def has_boundary(x: Column) -> Column:
 
 
 def leads_with_boundary(output: Column, source: Column) -> Column:
-    """The output starts with a mark, and the source does not start with a closing quote."""
+    """The output starts with the end of a sentence, and the source does not start with a closing quote."""
     first = F.substring(strip(output), 1, 1)
-    return first.rlike(f"^{_class(MARKS)}$") & ~F.coalesce(F.substring(strip(source), 1, 1).rlike(f"^{_class(CLOSING)}$"), F.lit(False))
+    return first.rlike(f"^{_class(SENTENCE_ENDS)}$") & ~F.coalesce(F.substring(strip(source), 1, 1).rlike(f"^{_class(CLOSING)}$"), F.lit(False))
 
 
 def cjk_characters(x: Column) -> Column:
@@ -153,6 +154,7 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def truthy(x: Column) -> Column:
+    """Of texts: 1, true, yes or y. (Numbers and booleans: pass ``x <> 0``, ``x``.)"""
     return F.coalesce(F.lower(strip(x.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 
 
@@ -165,6 +167,13 @@ def hash_key(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts]), 256)
 
 
+def stable_key(seed: int | str, namespace: str, ident: Column, source: Column) -> Column:
+    """SHA-256 of seed, namespace, id and source joined by NUL; null counts as empty."""
+    nul = F.lit("\0")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.sha2(F.concat(F.lit(str(seed)), nul, F.lit(namespace), nul, text(ident), nul, text(source)), 256)
+
+
 def hash_point(*parts: Column | str) -> Column:
     """In [0, 1): the first eight bytes of the hash over 2**64."""
     return F.conv(F.substring(hash_key(*parts), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(2**64)
@@ -198,7 +207,9 @@ def boxed_answer(x: Column) -> Column:
 
 
 def think_answer(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?s)<answer>(.*?)</answer>", 1)
+    """The trimmed text between answer tags; without them, the whole text; null becomes empty."""
+    found = F.when(x.rlike(r"(?s)<answer>.*?</answer>"), F.regexp_extract(x, r"(?s)<answer>(.*?)</answer>", 1)).otherwise(x)
+    return F.coalesce(strip(found), F.lit(""))
 
 
 def think_format(x: Column) -> Column:

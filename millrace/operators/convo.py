@@ -130,6 +130,6 @@ def tool_text(role: Column, value: Column) -> Column:
 
 def observation(value: Column, style: str) -> Column:
     # How each format wraps an observation.
-    wraps = {"qwen": ("<tool_response>\n", "\n</tool_response>"), "glm4": ("", ""), "mistral": ('[TOOL_RESULTS] {"content": ', "}[/TOOL_RESULTS]"), "default": ("Observation: ", "")}
+    wraps = {"qwen": ("<tool_response>\n", "\n</tool_response>"), "glm4": ("<|observation|>\n", ""), "mistral": ('[TOOL_RESULTS] {"content": ', "}[/TOOL_RESULTS]"), "default": ("Observation: ", "")}
     a, b = wraps[style]
     return F.concat(F.lit(a), value, F.lit(b))

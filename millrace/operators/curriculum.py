@@ -43,11 +43,11 @@ def annotated(df: DataFrame, bucket: str, score: Column, reasons: Column) -> Dat
     return df.withColumn("selection", F.struct(F.lit(bucket).alias("bucket"), score.alias("score"), reasons.alias("reasons")))
 
 
-def hard_and_replay(df: DataFrame, score: str, ident: str, hard: int, replay: int, seed: str) -> DataFrame:
-    """The hardest rows, and a hash sample of the others. Adds bucket."""
-    key = lambda ns: T.hash_key(seed, ns, F.col(ident).cast("string"))
-    top = df.orderBy(F.col(score).desc(), key("hard")).limit(hard).withColumn("bucket", F.lit("hard"))
-    rest = df.join(top.select(ident), ident, "left_anti").orderBy(key("replay")).limit(replay).withColumn("bucket", F.lit("replay"))
+def hard_and_replay(df: DataFrame, score: str, ident: str, source: str, hard: int, replay: int, seed: int | str, names: tuple[str, str] = ("c2m-hard", "c2m-replay")) -> DataFrame:
+    """The hardest rows (ties by the stable key of seed, name, id and source), and a hash sample of the others. Adds bucket."""
+    key = lambda name: T.stable_key(seed, name, F.col(ident), F.col(source))
+    top = df.orderBy(F.col(score).desc(), key(names[0])).limit(hard).withColumn("bucket", F.lit("hard"))
+    rest = df.join(top.select(ident), ident, "left_anti").orderBy(key(names[1])).limit(replay).withColumn("bucket", F.lit("replay"))
     return top.unionByName(rest)
 
 

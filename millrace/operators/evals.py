@@ -70,6 +70,7 @@ def triage_flags(task: Column, source: Column, output: Column, reference: Column
     ratio = T.length_ratio(output, reference)
     is_p = F.coalesce(task == "punctuate", F.lit(False))
     core_o, core_s = T.content_core(output), T.content_core(source)
+    wanted = T.numbers(reference, T.TRIAGE_NUMBER)
     rules = [
         ("empty_output", T.normalize_ws(output) == ""),
         ("punctuation_text_changed", is_p & (core_o != core_s)),
@@ -77,7 +78,7 @@ def triage_flags(task: Column, source: Column, output: Column, reference: Column
         ("omission_risk", ~is_p & (ratio < 0.65)),
         ("over_translation_risk", ~is_p & (ratio > 1.55)),
         ("low_reference_overlap", ~is_p & (f1 < 0.40)),
-        ("number_or_date_mismatch_risk", T.numbers(output, T.TRIAGE_NUMBER) != T.numbers(reference, T.TRIAGE_NUMBER)),
+        ("number_or_date_mismatch_risk", ~is_p & (F.size(wanted) > 0) & (T.numbers(output, T.TRIAGE_NUMBER) != wanted)),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
 

@@ -12,26 +12,32 @@ MIN_DENSITY = 0.05
 
 
 def punctuation_reason(source: Column, output: Column) -> Column:
-    """First failing rule of a punctuated output, or null."""
+    """First failing rule of a punctuated output, or null. Lengths are those of the normalised texts."""
+    a, b = T.normalize_content(source), T.normalize_content(output)
+    long_ = F.length(a) >= 20
     return (
-        F.when(T.normalize_content(source) != T.normalize_content(output), "punctuation_text_mismatch")
-        .when((F.length(output) >= 20) & (T.punctuation_density(output) < MIN_DENSITY), "insufficient_punctuation")
-        .when((F.length(output) >= 20) & ~T.has_boundary(output), "missing_sentence_boundary_punctuation")
+        F.when((a != "") & (b != "") & (a != b), "punctuation_text_mismatch")
+        .when(long_ & (T.punctuation_density(output, b) < MIN_DENSITY), "insufficient_punctuation")
+        .when(long_ & ~T.has_boundary(output), "missing_sentence_boundary_punctuation")
         .when(~T.quotes_balanced(output), "unbalanced_quotes")
         .when(T.leads_with_boundary(output, source), "leading_boundary_punctuation")
     )
 
 
-def clean_reason(task: Column, source: Column, output: Column, has_box: Column, least: int = 4, most: int = 500, tasks: tuple[str, ...] = TASKS) -> Column:
-    """unsupported_task, has_box, missing_text, input_too_short, input_too_long, a punctuation reason, or accepted."""
-    n = F.length(T.strip(source))
-    long_ = (n > most) if most else F.lit(False)
+def clean_reason(task: Column, source: Column, output: Column, has_box: Column, least: int = 4, most: int = 500, tasks: tuple[str, ...] = TASKS, instruction: Column | None = None, keep_box: bool = False) -> Column:
+    """unsupported_task, has_box (unless kept), missing_text, input_too_short, input_too_long, a punctuation reason, or
+    accepted. Texts are judged without white space at their ends; the instruction must not be blank, if given."""
+    task, source, output = (T.strip(F.coalesce(c, F.lit(""))) for c in (task, source, output))
+    n = F.length(source)
+    missing = (source == "") | (output == "")
+    if instruction is not None:
+        missing = missing | (T.strip(F.coalesce(instruction, F.lit(""))) == "")
     return (
-        F.when(~F.coalesce(task.isin(*tasks), F.lit(False)), "unsupported_task")
-        .when(T.truthy(has_box), "has_box")
-        .when((F.coalesce(T.strip(source), F.lit("")) == "") | (F.coalesce(T.strip(output), F.lit("")) == ""), "missing_text")
+        F.when(~task.isin(*tasks), "unsupported_task")
+        .when(F.lit(not keep_box) & T.truthy(has_box), "has_box")
+        .when(missing, "missing_text")
         .when(n < least, "input_too_short")
-        .when(long_, "input_too_long")
+        .when((n > most) if most > 0 else F.lit(False), "input_too_long")
         .otherwise(F.coalesce(F.when(task == "punctuate", punctuation_reason(source, output)), F.lit("accepted")))
     )
 
@@ -45,12 +51,12 @@ def audit_flags(task: Column, source: Column, output: Column) -> Column:
     ratio = lb / F.greatest(la, F.lit(1))
     cjk = lambda x: F.array_except(F.array_distinct(T.cjk_characters(x)), F.array(*[F.lit(c) for c in T.COMMON_CHARACTERS]))
     num_a, num_b = T.number_set(a, T.AUDIT_NUMBER), T.number_set(b, T.AUDIT_NUMBER)
-    long_p = is_p & (F.length(b) >= 20)
+    long_p = is_p & (la >= 20)
     rules = [
         ("missing_pair", (T.strip(a) == "") | (T.strip(b) == "")),
         ("identical_input_output", ~is_p & (la > 0) & (na == nb)),
-        ("punctuation_text_mismatch", is_p & (na != nb)),
-        ("insufficient_punctuation", long_p & (T.punctuation_density(b) < MIN_DENSITY)),
+        ("punctuation_text_mismatch", is_p & (la > 0) & (lb > 0) & (na != nb)),
+        ("insufficient_punctuation", long_p & (T.punctuation_density(b, nb) < MIN_DENSITY)),
         ("missing_sentence_boundary_punctuation", long_p & ~T.has_boundary(b)),
         ("unbalanced_quotes", is_p & ~T.quotes_balanced(b)),
         ("leading_boundary_punctuation", is_p & T.leads_with_boundary(b, a)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ FINAL_MARKS = "。！？.!?…；;"
 
 def html_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, line_no, line): text lines of HTML; scripts, styles, comments and tags go."""
-    x = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    x = F.regexp_replace(F.col(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -43,34 +44,42 @@ def merged_lines(lines: DataFrame, key: str, order: str, line: str) -> DataFrame
     return tagged.groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "").alias("text"))
 
 
+def _spans(sizes: np.ndarray, gap: int, size: int, ends: np.ndarray | None, least: int) -> Iterator[tuple[int, int]]:
+    """Ranges of units (words or sentences) that fill chunks one after another, from running totals of their sizes.
+
+    A chunk takes units while the next one's size fits on top of what it holds (units and the gaps between them); with
+    ``ends``, it also stops at the first such unit that brings it above ``least``."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    # with a gap of one, unit k fits a chunk from i on if upto[k + 1] - upto[i] + (k - i - 1) <= size
+    reach = upto[1:] + gap * np.arange(len(sizes))
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(reach, size + upto[i] + gap * (i + 1), "right")))
+        if ends is not None:
+            k = np.searchsorted(ends, np.searchsorted(upto, upto[i] + least, "right") - 1)
+            if k < len(ends) and i <= ends[k] < j:
+                j = int(ends[k]) + 1
+        yield i, j
+        i = j
+
+
 def split_chunks(text: str, size: int, overlap: int, segment: Callable[[str], list[str]] | None = None) -> list[str]:
     """Chunks of about ``size`` characters at sentence ends; each but the last is followed by the next one's start.
 
-    ``segment`` cuts Chinese text into words; without one, each character is a word."""
-    chunks, now = [], ""
-    if re.search("[一-鿿]", text):
-        for word in (segment or list)(text):
-            if len(now) + len(word) > size:
-                chunks.append(now.strip())
-                now = ""
-            now += word
-            if word[-1:] in "\n。！？；…" and len(now) > size - overlap:
-                chunks.append(now.strip())
-                now = ""
-        if now:
-            chunks.append(now.strip())
+    ``segment`` cuts Chinese text into words; without one, each character is a word. A unit longer than a chunk is
+    a chunk of its own."""
+    if re.search("[\u4e00-\u9fff]", text):
+        units = list(segment(text)) if segment else list(text)
+        ends = np.flatnonzero([w[-1:] in "\n。！？；…" for w in units])
+        spans = _spans(np.array([len(w) for w in units]), 0, size, ends, size - overlap)
+        chunks = ["".join(units[i:j]).strip() for i, j in spans]
     else:
-        for sentence in re.split(r"(?<=[.!?])\s+", text.replace("\n", " ")):
-            if now and len(now) + len(sentence) > size:
-                chunks.append(now)
-                now = sentence
-            else:
-                now = f"{now} {sentence}" if now else sentence
-        if now:
-            chunks.append(now)
-    if overlap > 0:
-        chunks = [f"{a} {b[:overlap]}".strip() for a, b in zip(chunks, chunks[1:], strict=False)] + chunks[-1:]
-    return chunks
+        units = re.split(r"(?<=[.!?])\s+", text.replace("\n", " "))
+        units = units[1:] if units[0] == "" else units
+        chunks = [" ".join(units[i:j]) for i, j in _spans(np.array([len(x) for x in units], np.int64), 1, size, None, 0)]
+        chunks = [c for c in chunks if c]
+    followers = [*chunks[1:], ""][: len(chunks)]
+    return [f"{a} {b[:overlap]}".strip() if overlap > 0 and k + 1 < len(chunks) else a for k, (a, b) in enumerate(zip(chunks, followers, strict=True))]
 
 
 def chunked(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int = 50, segment: Callable[[str], list[str]] | None = None) -> DataFrame:
@@ -89,9 +98,9 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vecto
     """(qid, cid, score, rank): stated queries against all rows, dealt in blocks by an equi-join on the block."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col(qid).alias("__q"), F.col(vector).alias("__qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    c = corpus.select(F.col(cid).alias("__c"), F.col(vector).alias("__cv")).withColumn("__b", F.pmod(F.xxhash64("__c"), F.lit(blocks)).cast("int"))
-    scored = q.join(c, "__b").where("__q <> __c").select("__q", "__b", "__c", F.round(dot(F.col("__qv"), F.col("__cv")) / F.greatest(norm(F.col("__qv")) * norm(F.col("__cv")), F.lit(1e-12)), 6).alias("score"))
+    q = queries.select(F.col(qid).alias("__q"), F.col(vector).alias("__qv"), norm(F.col(vector)).alias("__qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    c = corpus.select(F.col(cid).alias("__c"), F.col(vector).alias("__cv"), norm(F.col(vector)).alias("__cn")).withColumn("__b", F.pmod(F.xxhash64("__c"), F.lit(blocks)).cast("int"))
+    scored = q.join(c, "__b").where("__q <> __c").select("__q", "__b", "__c", F.round(dot(F.col("__qv"), F.col("__cv")) / F.greatest(F.col("__qn") * F.col("__cn"), F.lit(1e-12)), 6).alias("score"))
     for part in (["__q", "__b"], ["__q"]):  # the best of each block, then of all
         scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(F.col("score").desc(), "__c"))).where(F.col("rank") <= k)
     return scored.select(F.col("__q").alias(qid), F.col("__c").alias(f"match_{cid}"), "score", "rank")
@@ -103,13 +112,12 @@ def terms(text: Column) -> Column:
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, qid: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, score): only terms of the queries are joined; lengths and document frequencies cover all."""
-    d = docs.select(doc_id, terms(F.col(text)).alias("t"))
-    lengths = d.select(doc_id, F.size("t").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    d = docs.select(doc_id, terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
+    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     q = queries.select(qid, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-    tf = d.select(doc_id, F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term", doc_id).agg(F.count("*").alias("tf"))
+    tf = d.select(doc_id, "len", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    j = q.join(tf, "term").join(df, "term").join(lengths, doc_id).join(F.broadcast(stats))  # stats is one row
+    j = q.join(tf, "term").join(df, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return j.groupBy(qid, doc_id).agg(F.sum(s).alias("score"))

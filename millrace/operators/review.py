@@ -61,12 +61,25 @@ def high_confidence(df: DataFrame) -> DataFrame:
 
 
 def apply_reviews(records: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Rejected records go; approved ones with a reference get it as their answer; others stay. Adds review_action."""
-    r = reviews.select("id", F.col("review_status").alias("__st"), F.nullif(T.strip(F.col("approved_reference")), F.lit("")).alias("__ref"))
-    j = records.join(r, "id", "left")
-    action = F.when(F.col("__st") == "rejected", "removed").when((F.col("__st") == "approved") & F.col("__ref").isNotNull(), "corrected").when(F.col("__st").isNotNull(), "confirmed").otherwise("unreviewed")
+    """Rejected records go; approved ones with a reference get it as their answer; others stay. Adds review_action.
+
+    Raises (when run) if a reviewed id repeats, has not one assistant message, or answers otherwise than the text that
+    was reviewed (``reference`` of the reviews, where they have it)."""
+    seen = F.nullif(T.strip(F.col("reference")), F.lit("")) if "reference" in reviews.columns else F.lit(None).cast("string")
+    r = reviews.select("id", F.col("review_status").alias("__st"), F.nullif(T.strip(F.col("approved_reference")), F.lit("")).alias("__ref"), seen.alias("__seen"))
+    many = F.count("*").over(Window.partitionBy("id"))
+    j = records.join(r, "id", "left").withColumn("__n", many)
+    answers = F.filter("conversations", lambda t: t["from"].isin(*convo.ASSISTANT))
+    problem = (
+        F.when(F.col("__n") > 1, "the id repeats")
+        .when(F.size(answers) != 1, "there is not one assistant message")
+        .when(F.col("__seen") != convo.last_of(F.col("conversations"), convo.ASSISTANT), "the answer is not the reviewed one")
+    )
+    wrong = F.col("__st").isNotNull() & problem.isNotNull()
+    status = F.when(wrong, F.raise_error(F.concat(F.col("id").cast("string"), F.lit(": "), problem)).cast("string")).otherwise(F.col("__st"))
+    action = F.when(status == "rejected", "removed").when((status == "approved") & F.col("__ref").isNotNull(), "corrected").when(status.isNotNull(), "confirmed").otherwise("unreviewed")
     conv = F.when(F.col("review_action") == "corrected", convo.replace_assistant(F.col("conversations"), F.col("__ref"))).otherwise(F.col("conversations"))
-    return j.withColumn("review_action", action).withColumn("conversations", conv).drop("__st", "__ref")
+    return j.withColumn("review_action", action).withColumn("conversations", conv).drop("__st", "__ref", "__seen", "__n")
 
 
 def finalized(records: DataFrame, flagged: DataFrame, approved: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -76,22 +89,23 @@ def finalized(records: DataFrame, flagged: DataFrame, approved: DataFrame, key:
 
 
 def correction_pairs(corrections: DataFrame, training: DataFrame, split: str = "train", ordinal: str = "ordinal") -> DataFrame:
-    """Adds reason to corrections: the first failing rule, or accepted. An id is used up only by a success."""
-    t = training.select(F.col("id").alias("__tid"), F.col("conversations").alias("conversations")).dropDuplicates(["__tid"])
+    """Adds reason to corrections: the first failing rule, or accepted. An id is used up by its first success; every
+    later correction of it is a duplicate, whatever else it fails. Raises (when run) if a training id repeats."""
+    t = training.groupBy(F.col("id").alias("__tid")).agg(F.count("*").alias("__n"))
     j = corrections.join(t, F.col("id") == F.col("__tid"), "left")
+    known = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated training id: "), F.col("__tid").cast("string"))).cast("boolean")).otherwise(F.col("__tid").isNotNull())
     a, o = T.normalize_join(F.col("approved_reference")), T.normalize_join(F.col("original_reference"))
     reason = (
-        F.when(F.coalesce(T.strip(F.col("id")), F.lit("")) == "", "missing_or_duplicate_id")
-        .when(~F.coalesce(F.col("split") == split, F.lit(False)), "not_training_split")
-        .when(~F.coalesce(F.col("confidence") == "high", F.lit(False)), "not_high_confidence")
-        .when(F.col("__tid").isNull(), "id_not_found_in_training")
+        F.when(F.coalesce(T.strip(F.col("id").cast("string")), F.lit("")) == "", "missing_or_duplicate_id")
+        .when(F.coalesce(F.col("split"), F.lit(split)) != split, "not_training_split")
+        .when(F.coalesce(F.lower("confidence"), F.lit("")) != "high", "not_high_confidence")
+        .when(~known, "id_not_found_in_training")
         .when((a == "") | (o == "") | (a == o), "empty_or_identical_pair")
         .otherwise("accepted")
     )
-    j = j.withColumn("reason", reason)
-    w = Window.partitionBy("id", F.col("reason") == "accepted").orderBy(ordinal)
-    again = (F.col("reason") == "accepted") & (F.row_number().over(w) > 1)
-    return j.withColumn("reason", F.when(again, "missing_or_duplicate_id").otherwise(F.col("reason"))).drop("__tid")
+    first = F.min(F.when(F.col("reason") == "accepted", F.col(ordinal))).over(Window.partitionBy("id"))
+    j = j.withColumn("reason", reason).withColumn("__first", first)
+    return j.withColumn("reason", F.when(F.col(ordinal) > F.col("__first"), "missing_or_duplicate_id").otherwise(F.col("reason"))).drop("__tid", "__n", "__first")
 
 
 def preference_reason(conversations: Column, chosen: Column, rejected: Column) -> Column:

@@ -92,10 +92,8 @@ def _f1(name: str, out: str, ref: str) -> str:
 @query(f"""SELECT lang, CASE WHEN t = '' THEN 'missing_text' WHEN length(t) < 200 THEN 'input_too_short' WHEN length(t) > 5000 THEN 'input_too_long' ELSE 'accepted' END AS reason, count(*) AS n
 FROM (SELECT lang, {_strip("coalesce(text, '')")} AS t FROM documents) GROUP BY ALL""")
 def clean_reason_counts(spark, d):
-    t = T.strip(F.coalesce(F.col("text"), F.lit("")))
-    rows = table(spark, d, "documents").select("lang", t.alias("t"))
-    n = F.length("t")
-    reason = F.when(F.col("t") == "", "missing_text").when(n < 200, "input_too_short").when(n > 5000, "input_too_long").otherwise("accepted")
+    rows = table(spark, d, "documents").select("lang", "text")
+    reason = quality.clean_reason(F.lit("c2m"), F.col("text"), F.lit("x"), F.lit(None), 200, 5000)
     return rows.groupBy("lang", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -215,9 +213,11 @@ def finalize_removed(spark, d):
     return review.finalized(docs, docs.where("len > 3000"), _reviews(spark, d).where("review_status = 'approved'"))[1].select("id")
 
 
-@query(f"""SELECT doc_id FROM documents WHERE {_core("text")} IN (SELECT {_core("text")} FROM benchmark)""")
+@query(f"""SELECT doc_id FROM documents WHERE {_core("text")} IN (SELECT {_core("text")} FROM benchmark UNION ALL SELECT {_core("text")} FROM documents WHERE doc_id % 50 = 0)""")
 def gold_leakage(spark, d):
-    return curriculum.leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), "text", "text").select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    gold = table(spark, d, "benchmark").select("text").unionAll(docs.where("doc_id % 50 = 0").select("text"))
+    return curriculum.leaked(docs, gold, "text", "text").select("doc_id")
 
 
 @query(f"""WITH {CANDIDATES}, {_f1("f", "candidate", "reference")} SELECT pair_id, f1 AS char_f1 FROM f""")
@@ -277,7 +277,7 @@ t AS (SELECT pair_id, f1, length({_nows("candidate")}) / greatest(length({_nows(
   CASE WHEN {_core("prompt")} <> '' AND {_core("prompt")} = {_core("candidate")} THEN 'source_echo' END,
   CASE WHEN ratio < 0.65 THEN 'omission_risk' END, CASE WHEN ratio > 1.55 THEN 'over_translation_risk' END,
   CASE WHEN f1 < 0.4 THEN 'low_reference_overlap' END,
-  CASE WHEN {_num("candidate")} <> {_num("reference")} THEN 'number_or_date_mismatch_risk' END], lambda x: x IS NOT NULL) AS flags FROM c JOIN f USING (pair_id))"""
+  CASE WHEN len({_num("reference")}) > 0 AND {_num("candidate")} <> {_num("reference")} THEN 'number_or_date_mismatch_risk' END], lambda x: x IS NOT NULL) AS flags FROM c JOIN f USING (pair_id))"""
 
 
 @query(_TRIAGE + " SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM t) GROUP BY 1")
@@ -309,15 +309,15 @@ def candidate_select(spark, d):
 _LATIN = curriculum.Patterns(r"\p{Nd}+", "not|pas", "and|und", r"[A-Z][a-z]+ [A-Z]", "[,;:.!?]")
 
 
-@query(f"""WITH s AS (SELECT doc_id, x, greatest(length({_nows("x")}), 1) AS n FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
-t AS (SELECT doc_id, CASE WHEN n >= 80 THEN 4 WHEN n >= 40 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[0-9]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, 'not|pas') THEN 2 ELSE 0 END
+@query(f"""WITH s AS (SELECT doc_id, source, x, greatest(length({_nows("x")}), 1) AS n FROM (SELECT doc_id, source, coalesce(text, '') AS x FROM documents)),
+t AS (SELECT doc_id, source, CASE WHEN n >= 80 THEN 4 WHEN n >= 40 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[0-9]+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, 'not|pas') THEN 2 ELSE 0 END
   + CASE WHEN regexp_matches(x, 'and|und') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[A-Z][a-z]+ [A-Z]') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(x, '[,;:.!?]')) >= 4 THEN 2 ELSE 0 END AS score FROM s)
-SELECT doc_id, score::INTEGER AS score, 'hard' AS bucket FROM (SELECT * FROM t ORDER BY score DESC, sha256('3:hard:' || doc_id) LIMIT 60)""")
+SELECT doc_id, score::INTEGER AS score, 'hard' AS bucket FROM (SELECT * FROM t ORDER BY score DESC, sha256('3' || chr(0) || 'c2m-hard' || chr(0) || doc_id || chr(0) || coalesce(source, '')) LIMIT 60)""")
 def difficulty_rank(spark, d):
     x = F.coalesce("text", F.lit(""))
     score, _ = curriculum.difficulty(x, F.lit(""), _LATIN)
-    rows = table(spark, d, "documents").select("doc_id", score.alias("score"))
-    return curriculum.hard_and_replay(rows, "score", "doc_id", 60, 0, "3")
+    rows = table(spark, d, "documents").select("doc_id", "source", score.alias("score"))
+    return curriculum.hard_and_replay(rows, "score", "doc_id", "source", 60, 0, 3).drop("source")
 
 
 @query("""SELECT lang, count(*) AS n, min(length(text)) AS least, percentile_disc(0.5) WITHIN GROUP (ORDER BY length(text)) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY length(text)) AS p95,
@@ -364,12 +364,26 @@ def set_ops(spark, d):
     return count(a.intersect(b), "both").unionByName(count(a.join(b, "doc_id", "left_anti").distinct(), "unlabelled"))
 
 
-@query()
+#: The rule for texts without Chinese characters (the tables hold none): g is the size of all sentences of a document up to
+#: the k-th, with the blanks before it; a chunk from k on ends before the first sentence that does not fit.
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)) AS t FROM documents),
+s AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM t), u AS (SELECT doc_id, k, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM s WHERE x <> '' OR k > 1),
+b AS (SELECT doc_id, k, upto + k AS g, upto - length(x) + k + 251 AS bound FROM u),
+n AS (SELECT a.doc_id, a.k, greatest(min(b.k), a.k + 1) AS nxt FROM b a JOIN b ON a.doc_id = b.doc_id AND a.bound < b.g GROUP BY a.doc_id, a.k, a.bound),
+c AS (SELECT doc_id, min(k) AS k, 0 AS chunk_no FROM u GROUP BY doc_id UNION ALL SELECT c.doc_id, n.nxt, c.chunk_no + 1 FROM c JOIN n ON n.doc_id = c.doc_id AND n.k = c.k JOIN u ON u.doc_id = c.doc_id AND u.k = n.nxt),
+e AS (SELECT doc_id, chunk_no, k, lead(k) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS z FROM c),
+x AS (SELECT e.doc_id, chunk_no, string_agg(u.x, ' ' ORDER BY u.k) AS chunk FROM e JOIN u ON u.doc_id = e.doc_id AND u.k >= e.k AND (e.z IS NULL OR u.k < e.z) GROUP BY ALL),
+y AS (SELECT *, lead(chunk) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS follower FROM x WHERE chunk <> '')
+SELECT doc_id, chunk_no::INTEGER AS chunk_no, CASE WHEN follower IS NULL THEN chunk ELSE {_strip("chunk || ' ' || left(follower, 50)")} END AS chunk FROM y""")
 def chunk_documents(spark, d):
     return retrieval.chunked(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(?:{retrieval.BLOCK_TAGS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM b),
+l AS (SELECT page_id, list_filter(list_transform(string_split(x, chr(10)), lambda t: trim(regexp_replace(t, '{WS}+', ' ', 'g'))), lambda t: t <> '') AS l FROM c)
+SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS line_no, unnest(l) AS line FROM l""")
 def html_to_text_lines(spark, d):
     return retrieval.html_lines(table(spark, d, "pages"), "page_id", "html")
 
@@ -417,3 +431,191 @@ def bm25_totals(spark, d):
     q = table(spark, d, "benchmark").withColumnRenamed("text", "q")
     got = retrieval.bm25(docs, q, "doc_id", "text", "item_id", "q")
     return got.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.sum("score"), 3).alias("total"))
+
+
+# Rules for Chinese text, over rows that are stated here: the tables hold none.
+
+_LONG = "天下大乱而诸侯并起争夺中原百姓流离失所不能安居乐业"
+_MARKED = "天下大乱，而诸侯并起，争夺中原。百姓流离失所，不能安居乐业。"
+_COMMAS = _MARKED.replace("。", "，")
+CLEANING = [
+    ("c2m", "译", "学而时习之", "学习并且时常温习", ""),
+    ("c2m", "译", "学而时习之", "学习并且时常温习", "Yes"),
+    ("poem", "译", "学而时习之", "学习并且时常温习", ""),
+    ("m2c", "译", " ", "学而时习之", ""),
+    ("m2c", "　", "学习并且时常温习", "学而时习之", ""),
+    ("c2m", "译", "学而　", "学习", ""),
+    ("c2m", "译", "学" * 501, "学习", ""),
+    ("punctuate", "点", _LONG, _LONG, ""),
+    ("punctuate", "点", _LONG, _MARKED, ""),
+    ("punctuate", "点", _LONG, _COMMAS, ""),
+    ("punctuate", "点", _LONG, _LONG + "。" + " " * 40, ""),
+    ("punctuate", "点", "学而时习之", "。学而时习之", ""),
+    ("punctuate", "点", "学而时习之", "，学而时习之", ""),
+    ("punctuate", "点", "”学而时习之", "。学而时习之", ""),
+    ("punctuate", "点", "学而时习之", "学而时习也。", ""),
+    ("punctuate", "点", "王曰其言可也善", "王曰：“其言‘可也’，善。”", ""),
+    ("punctuate", "点", "王曰其言可也善", "王曰：“其言‘可也”，善。’", ""),
+    ("punctuate", "点", "，。；！", "学而时习之。", ""),
+    ("c2m", "译", "元嘉三年四月帝幸建康宫室大臣朝贺", "公司股票价格上涨百分之五市场情绪乐观", ""),
+    ("c2m", "译", "同文同文同文", "同文，同文同文。", ""),
+    ("c2m", "译", "天下大乱诸侯并起争夺", "乱", ""),
+    ("c2m", "译", "天下大乱诸侯并起争夺", "abc", ""),
+]
+
+
+def _values(name: str, rows: list[tuple], columns: str) -> str:
+    """A CTE of stated rows, numbered by id."""
+    text = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"{name}(id, {columns}) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(text, r))})" for i, r in enumerate(rows)) + ")"
+
+
+def _rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + columns)
+
+
+_TIDY = "task, instruction, source, output, box"
+_BALANCED = "regexp_replace(output, '[^“”‘’「」『』]', '', 'g')"
+for _ in range(4):
+    _BALANCED = f"regexp_replace({_BALANCED}, '“”|‘’|「」|『』', '', 'g')"
+_DENSITY = "length(regexp_replace(output, '[^，。！？；：、,.!?;:]', '', 'g')) / greatest(length(y), 1)::DOUBLE"
+_LEADS = f"regexp_matches(ltrim(output), '^[。！？.!?]') AND NOT regexp_matches({_strip('source')}, '^[”’」』》\"]')"
+
+
+@query(f"""WITH {_values("r", CLEANING, _TIDY)}, n AS (SELECT *, lower(regexp_replace({_strip("source")}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS x, lower(regexp_replace({_strip("output")}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS y, {_strip("source")} AS a FROM r)
+SELECT id, CASE WHEN task NOT IN ('c2m', 'm2c', 'punctuate') THEN 'unsupported_task' WHEN lower(box) IN ('1', 'true', 'yes', 'y') THEN 'has_box'
+  WHEN {_strip("instruction")} = '' OR a = '' OR {_strip("output")} = '' THEN 'missing_text' WHEN length(a) < 4 THEN 'input_too_short' WHEN length(a) > 500 THEN 'input_too_long'
+  WHEN task <> 'punctuate' THEN 'accepted' WHEN x <> '' AND y <> '' AND x <> y THEN 'punctuation_text_mismatch'
+  WHEN length(x) >= 20 AND {_DENSITY} < 0.05 THEN 'insufficient_punctuation' WHEN length(x) >= 20 AND NOT regexp_matches(output, '[。！？；：.!?;:]') THEN 'missing_sentence_boundary_punctuation'
+  WHEN {_BALANCED} <> '' THEN 'unbalanced_quotes' WHEN {_LEADS} THEN 'leading_boundary_punctuation' ELSE 'accepted' END AS reason FROM n""")
+def clean_reasons_zh(spark, d):
+    c = F.col
+    rows = _rows(spark, CLEANING, "task string, instruction string, source string, output string, box string")
+    return rows.select("id", quality.clean_reason(c("task"), c("source"), c("output"), c("box"), instruction=c("instruction")).alias("reason"))
+
+
+def _cjk(x: str) -> str:
+    return f"list_filter(list_distinct(regexp_extract_all({x}, '[\\x{{3400}}-\\x{{9fff}}]')), lambda z: NOT contains('之其而以于为者也矣乎焉乃则所与及不无有是曰云人将中上下来', z))"
+
+
+_DATES = "'[0-9]+|[〇零一二三四五六七八九十百千]+[年月日]'"
+
+
+@query(f"""WITH {_values("r", CLEANING, _TIDY)}, n AS (SELECT *, {_audit("source")} AS x, {_audit("output")} AS y, {_cjk("source")} AS p, {_cjk("output")} AS q FROM r),
+f AS (SELECT id, list_filter([
+  CASE WHEN {_strip("source")} = '' OR {_strip("output")} = '' THEN 'missing_pair' END, CASE WHEN task <> 'punctuate' AND x <> '' AND x = y THEN 'identical_input_output' END,
+  CASE WHEN task = 'punctuate' AND x <> '' AND y <> '' AND x <> y THEN 'punctuation_text_mismatch' END, CASE WHEN task = 'punctuate' AND length(x) >= 20 AND {_DENSITY} < 0.05 THEN 'insufficient_punctuation' END,
+  CASE WHEN task = 'punctuate' AND length(x) >= 20 AND NOT regexp_matches(output, '[。！？；：.!?;:]') THEN 'missing_sentence_boundary_punctuation' END,
+  CASE WHEN task = 'punctuate' AND {_BALANCED} <> '' THEN 'unbalanced_quotes' END, CASE WHEN task = 'punctuate' AND {_LEADS} THEN 'leading_boundary_punctuation' END,
+  CASE WHEN length(y) < 2 THEN 'output_too_short' END, CASE WHEN length(x) >= 8 AND (length(y) / length(x)::DOUBLE < 0.2 OR length(y) / length(x)::DOUBLE > 4) THEN 'extreme_length_ratio' END,
+  CASE WHEN len(regexp_extract_all(output, '[\\x{{3400}}-\\x{{9fff}}]')) < 2 THEN 'low_cjk_output' END,
+  CASE WHEN len(p) >= 6 AND len(q) >= 6 AND len(list_intersect(p, q)) / len(list_distinct(list_concat(p, q)))::DOUBLE < 0.05 THEN 'low_character_overlap' END,
+  CASE WHEN len(regexp_extract_all(source, {_DATES})) > 0 AND NOT list_has_any(regexp_extract_all(source, {_DATES}), regexp_extract_all(output, {_DATES})) THEN 'number_or_date_mismatch' END], lambda z: z IS NOT NULL) AS flags FROM n)
+SELECT id, array_to_string(flags, ',') AS flags FROM f""")
+def audit_flags_zh(spark, d):
+    c = F.col
+    rows = _rows(spark, CLEANING, "task string, instruction string, source string, output string, box string")
+    return rows.select("id", F.array_join(quality.audit_flags(c("task"), c("source"), c("output")), ",").alias("flags"))
+
+
+TRIAGE = [
+    ("c2m", "元嘉三年四月帝幸建康", "元嘉三年四月，皇帝到建康。", "元嘉三年四月，皇帝去了建康。"),
+    ("c2m", "元嘉三年四月帝幸建康", "元嘉三年四月，皇帝到建康。", "元嘉五年四月，皇帝到建康。"),
+    ("c2m", "学而时习之", "学了又时常温习它", "学了三日又时常温习它"),
+    ("c2m", "学而时习之", "学了又时常温习它", "学而，时习之。"),
+    ("c2m", "学而时习之", "学了又时常温习它", " "),
+    ("m2c", "学了又时常温习它", "学而时习之", "学而时习之学而时习之"),
+    ("m2c", "学了又时常温习它", "学而时习之", "学"),
+    ("punctuate", "三年帝崩", "三年，帝崩。", "五年，帝崩。"),
+    ("punctuate", "三年帝崩", "三年，帝崩。", "三年帝崩。"),
+    ("punctuate", "三年帝崩", "三年，帝崩。", ""),
+]
+
+
+@query(f"""WITH {_values("v", TRIAGE, "task, prompt, reference, candidate")}, c AS (SELECT id AS pair_id, * FROM v), {_f1("f", "candidate", "reference")},
+t AS (SELECT pair_id, task, f1, length({_nows("candidate")}) / greatest(length({_nows("reference")}), 1)::DOUBLE AS ratio, list_filter([
+  CASE WHEN {_nows("candidate")} = '' THEN 'empty_output' END, CASE WHEN task = 'punctuate' AND {_core("prompt")} <> {_core("candidate")} THEN 'punctuation_text_changed' END,
+  CASE WHEN task <> 'punctuate' AND {_core("prompt")} <> '' AND {_core("prompt")} = {_core("candidate")} THEN 'source_echo' END,
+  CASE WHEN task <> 'punctuate' AND ratio < 0.65 THEN 'omission_risk' END, CASE WHEN task <> 'punctuate' AND ratio > 1.55 THEN 'over_translation_risk' END, CASE WHEN task <> 'punctuate' AND f1 < 0.4 THEN 'low_reference_overlap' END,
+  CASE WHEN task <> 'punctuate' AND len({_num("reference")}) > 0 AND {_num("candidate")} <> {_num("reference")} THEN 'number_or_date_mismatch_risk' END], lambda x: x IS NOT NULL) AS flags FROM c JOIN f USING (pair_id))
+SELECT pair_id, array_to_string(flags, ',') AS flags FROM t""")
+def triage_zh(spark, d):
+    c = _rows(spark, TRIAGE, "task string, prompt string, reference string, candidate string").withColumnRenamed("id", "pair_id")
+    c = c.join(metrics.char_scores(c, "pair_id", "candidate", "reference").select("pair_id", "char_f1"), "pair_id")
+    flags = evals.triage_flags(F.col("task"), F.col("prompt"), F.col("candidate"), F.col("reference"), F.col("char_f1"))
+    return c.select("pair_id", F.array_join(flags, ",").alias("flags"))
+
+
+CORRECTIONS = [
+    ("a", "train", "High", "新", "旧"), ("a", "test", "high", "新", "旧"), ("b", None, "high", "新", "旧"), ("c", "test", "high", "新", "旧"), ("c", "train", "low", "新", "旧"),
+    ("c", "train", "high", "旧 文", " 旧   文"), ("c", "train", "high", "新", "旧"), ("c", "train", "high", "新", "旧"), ("z", "train", "HIGH", "新", "旧"), (" ", "train", "high", "新", "旧"), ("d", "train", None, "新", "旧"), ("d", "train", "high", "", "旧"),
+]
+
+
+@query(f"""WITH {_values("r", CORRECTIONS, "key, split, confidence, approved, original")}, s AS (SELECT *, {_strip("regexp_replace(approved, '" + WS + "+', ' ', 'g')")} AS a, {_strip("regexp_replace(original, '" + WS + "+', ' ', 'g')")} AS o FROM r),
+t AS (SELECT *, CASE WHEN trim(key) = '' THEN 'missing_or_duplicate_id' WHEN coalesce(split, 'train') <> 'train' THEN 'not_training_split' WHEN coalesce(lower(confidence), '') <> 'high' THEN 'not_high_confidence'
+  WHEN key NOT IN ('a', 'b', 'c', 'd') THEN 'id_not_found_in_training' WHEN a = '' OR o = '' OR a = o THEN 'empty_or_identical_pair' ELSE 'accepted' END AS reason FROM s),
+w AS (SELECT key, min(id) AS first FROM t WHERE reason = 'accepted' GROUP BY key)
+SELECT t.id AS ordinal, CASE WHEN t.id > w.first THEN 'missing_or_duplicate_id' ELSE reason END AS reason FROM t LEFT JOIN w USING (key)""")
+def correction_reasons(spark, d):
+    rows = _rows(spark, CORRECTIONS, "key string, split string, confidence string, approved_reference string, original_reference string")
+    rows = rows.withColumnRenamed("id", "ordinal").withColumnRenamed("key", "id")
+    training = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    return review.correction_pairs(rows, training).select("ordinal", "reason")
+
+
+@query("""SELECT doc_id FROM documents ORDER BY sha256('42' || chr(0) || 'replay' || chr(0) || doc_id || chr(0) || coalesce(source, '')) LIMIT 50""")
+def stable_sample(spark, d):
+    return sampling.hash_sample(table(spark, d, "documents").select("doc_id", "source"), 50, 42, "replay", "doc_id", "source").select("doc_id")
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 > 0),
+p AS (SELECT doc_id AS pred_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id % 4 > 0)
+SELECT doc_id, pred_id FROM r JOIN p USING (source, k)""")
+def fifo_matches(spark, d):
+    docs = table(spark, d, "documents")
+    refs = docs.where("doc_id % 3 > 0").select("doc_id", F.concat(F.lit(" "), "source").alias("input"), F.col("doc_id").alias("ordinal"))
+    preds = docs.where("doc_id % 4 > 0").select(F.col("doc_id").alias("pred_id"), F.col("source").alias("inp"), F.col("doc_id").alias("ordinal"))
+    return evals.fifo_join(refs, preds, "input", "inp").select("doc_id", "pred_id")
+
+
+@query(f"""WITH {PAIRS} SELECT pair_id, CASE WHEN pair_id % 5 = 0 THEN 'not_punctuation' WHEN {_nows("prompt")} = '' OR {_nows("y")} = '' THEN 'empty_text' WHEN length({_nows("prompt")}) < 60 THEN 'source_too_short'
+  WHEN length({_nows("prompt")}) > 120 THEN 'source_too_long' WHEN {_core("prompt")} <> {_core("y")} THEN 'reference_changes_source' ELSE 'accepted' END AS reason
+FROM (SELECT *, CASE WHEN pair_id % 3 = 0 THEN reference ELSE prompt || '.' END AS y FROM p)""")
+def grpo_reasons(spark, d):
+    p = pairs(spark, d).withColumn("y", F.when(F.col("pair_id") % 3 == 0, F.col("reference")).otherwise(F.concat("prompt", F.lit("."))))
+    task = F.when(F.col("pair_id") % 5 == 0, "c2m").otherwise("punctuate")
+    return p.select("pair_id", quality.grpo_reason(task, F.col("prompt"), F.col("y"), 60, 120).alias("reason"))
+
+
+@query(f"""WITH {CANDIDATES} SELECT pair_id, CASE WHEN pair_id % 4 = 0 THEN 'missing_conversations' WHEN trim(a) = '' OR trim(b) = '' THEN 'missing_preference' WHEN a = b THEN 'identical_preference' ELSE 'accepted' END AS reason
+FROM (SELECT pair_id, trim(regexp_replace(coalesce(reference, ''), '{WS}+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(baseline, ''), '{WS}+', ' ', 'g')) AS b FROM c)""")
+def preference_reasons(spark, d):
+    conv = F.when(F.col("pair_id") % 4 != 0, convo.from_qa(F.col("prompt"), F.col("reference")))
+    return candidates(spark, d).select("pair_id", review.preference_reason(conv, F.col("reference"), F.col("baseline")).alias("reason"))
+
+
+@query("""WITH x AS (SELECT doc_id, unnest(range(1, 10)) AS i FROM documents) SELECT round(avg((((doc_id * (i - 1)) % 5) = ((doc_id + i) % 5))::INTEGER), 9) AS accuracy FROM x WHERE i % 4 <> 0""")
+def token_accuracy(spark, d):
+    i = F.sequence(F.lit(0), F.lit(9))
+    rows = table(spark, d, "documents").select(F.transform(i, lambda k: (F.col("doc_id") * k) % 5).alias("p"), F.transform(i, lambda k: F.when(k % 4 == 0, F.lit(-100)).otherwise((F.col("doc_id") + k) % 5)).alias("l"))
+    return evals.token_accuracy(rows, "p", "l").select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("""SELECT round(exp(sum((doc_id % 7) * 0.01 * n_chars) / (count(*) * sum(n_chars))), 9) AS perplexity FROM documents""")
+def corpus_perplexity(spark, d):
+    rows = table(spark, d, "documents").select(((F.col("doc_id") % 7) * 0.01).alias("nll"), "n_chars")
+    return evals.perplexity(rows, "nll", "n_chars", "n_chars").select(F.round("perplexity", 9).alias("perplexity"))
+
+
+_FORMATS = [(t.name, t.prompt, t.sep, t.system) for t in templates.TEMPLATES.values()]
+
+
+@query(f"""WITH {_values("t", _FORMATS, "name, prompt, sep, sys")}, {PAIRS}, q AS (SELECT prompt AS a, reference AS b FROM p ORDER BY pair_id LIMIT 1)
+SELECT name, md5(CASE WHEN sys <> '' THEN sys || sep ELSE '' END || replace(t.prompt, '{{query}}', a) || b || sep || replace(t.prompt, '{{query}}', b) || a) AS digest FROM t, q""")
+def template_formats(spark, d):
+    q = pairs(spark, d).orderBy("pair_id").limit(1)
+    turn = lambda a, b: F.struct(F.col(a).alias("user"), F.col(b).alias("assistant"))
+    turns = F.array(turn("prompt", "reference"), turn("reference", "prompt"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.md5(templates.render(n, turns)).alias("digest")) for n in templates.TEMPLATES])).alias("x")
+    return q.select(each).select("x.name", "x.digest")

@@ -56,7 +56,8 @@ def test_f1_and_boundaries(spark):
 
 def test_rewards(spark):
     r = one(spark, rewards.preservation_guard(F.lit("学，而"), F.lit("学而")), rewards.preservation_guard(F.lit("学"), F.lit("学而")), rewards.gated(F.lit(0.8), F.lit("学"), F.lit("学而")), rewards.direct_format(F.lit("<think>x")), rewards.math_accuracy(F.lit("<answer>1,200</answer>"), F.lit("#### 1200")))
-    assert tuple(r)[:4] == (1.0, -1.0, 0.0, 0.0)
+    assert tuple(r) == (1.0, -1.0, 0.0, 0.0, 1.0)
+    assert tuple(one(spark, T.think_answer(F.lit("x <answer> 1 </answer>")), T.think_answer(F.lit(" 7 ")), T.think_answer(F.lit(None).cast("string")))) == ("1", "7", "")
     assert one(spark, T.boxed_answer(F.lit(r"so \boxed{1} and \boxed{\frac{a}{b}} end")))[0] == r"\frac{a}{b}"
     assert one(spark, rewards.preservation_v1(F.lit("abc"), F.lit("abd")))[0] == pytest.approx(1 / 3)
 
@@ -75,6 +76,10 @@ def test_source_split(spark):
     by = {(r["task"], r["split"]): r["n"] for r in got.groupBy("task", "split").agg(F.count_distinct("source").alias("n")).collect()}
     assert all(by[(t, s)] >= 2 for t in ("c2m", "m2c", "punctuate") for s in ("validation", "test"))
     assert got.count() == len(rows)
+    few = df.where("source IN ('c2m-src0', 'c2m-src1', 'm2c-src0', 'm2c-src1')").unionAll(df.limit(1).select(F.lit("lone").alias("id"), "task", F.lit(" ").alias("source")))
+    got = sampling.anchored_source_split(few, "source", "task", "id", (1 / 3, 1 / 3, 1 / 3), 7)
+    assert {r["split"] for r in got.select("split").distinct().collect()} == {"train", "validation", "test"}
+    assert got.where("split = 'train'").select("task").distinct().count() == 2
 
 
 def test_group_split_and_cap(spark):
@@ -98,6 +103,15 @@ def test_reviews(spark):
     assert got == {"a": ("corrected", "better"), "b": ("removed", "r")}
 
 
+def test_review_errors(spark):
+    r = spark.createDataFrame([("a", "approved", "", "old")], "id string, review_status string, approved_reference string, reference string")
+    conv = lambda *values: spark.createDataFrame([("a", v) for v in values], "id string, v string").withColumn("conversations", convo.from_qa(F.lit("q"), F.col("v")))
+    assert review.apply_reviews(conv("old "), r).count() == 1
+    for wrong, why in ((conv("new"), "not the reviewed one"), (conv("old", "old"), "repeats")):
+        with pytest.raises(Exception, match=why):
+            review.apply_reviews(wrong, r).collect()
+
+
 def test_fifo_and_zip(spark):
     refs = spark.createDataFrame([(0, "x", "r0"), (1, "x", "r1"), (2, "y", "r2")], "ordinal int, input string, reference string")
     preds = spark.createDataFrame([(0, " x", "p0"), (1, "x", "p1")], "ordinal int, inp string, output string")
@@ -170,6 +184,9 @@ def test_stream(spark, tmp_path):
 def test_retrieval(spark):
     assert retrieval.split_chunks("One. Two. Three.", 9, 0) == ["One. Two.", "Three."]
     assert retrieval.split_chunks("One. Two. Three.", 9, 3) == ["One. Two. Thr", "Three."]
+    assert retrieval.split_chunks("Long sentence here. A.", 5, 0) == ["Long sentence here.", "A."]
+    assert retrieval.split_chunks("", 5, 2) == []
+    assert retrieval.split_chunks("一二三。四五六七八九十", 6, 3) == ["一二三。 四五六", "四五六七八九 十", "十"]
     df = spark.createDataFrame([(1, "<p>a &amp; b</p><script>x</script><div>c</div>")], "id int, h string")
     assert [r["line"] for r in retrieval.html_lines(df, "id", "h").orderBy("line_no").collect()] == ["a & b", "c"]
     assert one(spark, T.number_contexts(F.array(F.lit("x"), F.lit("y"))))[0] == '[1]\t "x"\n[2]\t "y"'
@@ -181,7 +198,20 @@ def test_packing_and_templates(spark):
     df = spark.createDataFrame([("g", 1, [1, 2, 3]), ("g", 2, [4, 5])], "g string, o int, t array<int>")
     assert [r["tokens"] for r in packing.packed(df, "g", "o", "t", 2).orderBy("block_no").collect()] == [[1, 2], [3, 4]]
     pairs = F.array(F.struct(F.lit("q").alias("user"), F.lit("a").alias("assistant")), F.struct(F.lit("r").alias("user"), F.lit("").alias("assistant")))
-    assert one(spark, templates.render("llama2", pairs))[0] == "[INST] q [/INST]a</s>[INST] r [/INST]"
-    for calls, found in templates.TOOL_FORMATS.values():
-        assert found(calls([("get", '{"x": 1}')])) == [("get", '{"x": 1}')]
-        assert found("nothing here") is None
+    assert one(spark, templates.render("mistral", pairs))[0] == "[INST] q [/INST]a</s>[INST] r [/INST]"
+    for style in templates.TOOL_FORMATS.values():
+        assert style.found(style.calls([("get", '{"x": 1}')])) == [("get", '{"x": 1}')]
+        assert style.found("nothing here") is None
+    for name in ("glm4", "llama3"):
+        with pytest.raises(ValueError, match="one call"):
+            templates.TOOL_FORMATS[name].calls([("a", "{}"), ("b", "{}")])
+    assert templates.tagged_found('<tool_call>{"name": "a", "arguments": {}}</tool_call> and more') is None
+    tools = [{"name": "get", "description": "Gets.", "parameters": {"properties": {"x": {"type": "string", "description": "what", "enum": ["a", "b"]}, "y": {"type": "array", "items": {"type": "int"}}}, "required": ["x"]}}]
+    assert "> Tool Name: get\nTool Description: Gets.\nTool Args:\n  - x (string, required): what, should be one of [a, b]\n  - y (array): , where each item should be int\n\nUse the" in templates.react_tools(tools)
+    conv = spark.createDataFrame([([("system", "be brief"), ("human", "q"), ("function_call", '{"name": "get", "arguments": {"x": 1}}'), ("observation", "1"), ("gpt", "one"), ("note", "x")],), (None,)], "c array<struct<from:string,value:string>>")
+    got = [r[0] for r in conv.select(templates.chat_messages("qwen", json.dumps(tools))(F.col("c"))).collect()]
+    assert got[1] is None
+    assert [(m["role"], m["content"]) for m in got[0]][1:] == [("user", "q"), ("assistant", '<tool_call>\n{"name": "get", "arguments": {"x": 1}}\n</tool_call>'), ("user", "<tool_response>\n1\n</tool_response>"), ("assistant", "one")]
+    assert got[0][0]["content"].startswith("be brief\n\n\n\n# Tools")
+    calls = spark.createDataFrame([("Action: get\nAction Input: {\"x\": 1}",), ("no",), (None,)], "t string").select(templates.found_calls("default")(F.col("t"))).collect()
+    assert [r[0] and [tuple(c) for c in r[0]] for r in calls] == [[("get", '{"x": 1}')], None, None]

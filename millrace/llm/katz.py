@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import chunks, digests, flat, lowered, materialise, mix64, small_batches, word_bounds, word_hashes
 
 #: Words that are broadcast (16 bytes each); results do not depend on it.
-VOCABULARY = 1 << 19
+VOCABULARY = 1 << 18
 #: Good-Turing discounts apply to counts up to this.
 CUTOFF = 5
 #: Occurrences of a partition of the n-gram table, and the parts of a partition that are sorted one by one.

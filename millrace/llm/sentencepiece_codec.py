@@ -31,10 +31,10 @@ from millrace.llm.common import chunks, flat, mix64
 BLANK = "▁"
 UNKNOWN = 10.0
 #: Bytes of text that are encoded, and ids that are decoded, at a time.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 BLOCK = 1 << 18
 #: Distinct words that a Python worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Words of more characters than this are taken one by one, in blocks of so many characters.
 LONG = 512
 #: Bits of a hash by which most substrings are told not to be pieces before the sorted keys are searched.

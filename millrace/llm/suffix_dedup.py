@@ -349,7 +349,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     found = materialise(docs.mapInArrow(_anchored(length), _ANCHORS), "suffix-anchors")
     contexts = found.groupBy("gram", "c0", "c1").agg(F.count("*").alias("copies"), F.min(F.struct("row_key", "start", "lo", "hi")).alias("one"))
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("c0", "c1")).alias("a"), F.max(F.struct("c0", "c1")).alias("b"))
-    grams = materialise(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several")), "suffix-grams")
+    grams = grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("several"))
     contexts = materialise(contexts.join(grams, "gram").select("gram", "c0", "c1", "copies", "one", "several"), "suffix-contexts")
     spots = contexts.where("several").groupBy(F.col("one.row_key").alias("row_key")).agg(F.collect_list(F.struct("one.start", "one.lo", "one.hi", "gram", "c0", "c1", "copies")).alias("spots"))
     spots = materialise(spots, "suffix-spots")
@@ -376,7 +376,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     # A context with two copies is repeated as a whole; one with one copy where its windows are.
     whole = contexts.where("copies > 1").select("gram", "c0", "c1", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     single = hits.join(contexts.where("copies = 1").select("gram", "c0", "c1"), ["gram", "c0", "c1"], "left_semi")
-    settled = materialise(whole.unionByName(single), "suffix-settled")
+    settled = whole.unionByName(single)
     spans = found.join(settled.hint("merge"), ["gram", "c0", "c1"])
     s = F.col("lo") + F.coalesce("a", F.lit(0))
     e = F.coalesce(F.col("lo") + F.col("b"), F.col("hi")) + F.lit(length)

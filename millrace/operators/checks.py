@@ -52,3 +52,17 @@ def require(*violations: DataFrame) -> None:
     found = reduce(DataFrame.unionByName, violations).limit(5).collect()
     if found:
         raise ValueError("; ".join(f"{r['rule']}: {r['detail']}" for r in found))
+
+
+def task_rows(df: DataFrame, value: str, task: str = "task") -> DataFrame:
+    """The rows of one task; an error if there are none (looks for one row)."""
+    rows = df.where(F.coalesce(F.col(task).cast("string"), F.lit("")) == value)
+    if rows.isEmpty():
+        raise ValueError(f"no rows of task {value}")
+    return rows
+
+
+def prompts_within(df: DataFrame, prompt: str, most: int | None = None) -> DataFrame:
+    """Rows whose prompt is not blank and, if a limit is given, not longer (characters)."""
+    n = F.length(prompt)
+    return df.where((T.strip(F.coalesce(F.col(prompt), F.lit(""))) != "") & ((n <= most) if most else F.lit(True)))

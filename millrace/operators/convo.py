@@ -24,6 +24,70 @@ def from_alpaca(instruction: Column, source: Column, output: Column) -> Column:
     return F.array(message("human", body), message("gpt", output))
 
 
+def prepared(df: DataFrame, system: str, upstream: str, license: str, prefix: str = "") -> DataFrame:
+    """Raw rows (id, task, instruction, input, output, source, category) as conversations: texts without white space at
+    their ends; a blank id becomes the prefix and a digest of the texts as they are, a blank source 未知出处/<id>, a blank category 未分类."""
+    said = lambda c: T.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    unless_blank = lambda c, other: F.when(said(c) != "", said(c)).otherwise(other)
+    rows = df.withColumn("id", unless_blank("id", T.stable_id(prefix, *[F.col(c).cast("string") for c in ("task", "source", "instruction", "input", "output")])))
+    source = unless_blank("source", F.concat(F.lit("未知出处/"), F.col("id")))
+    conv = from_raw(said("instruction"), said("input"), said("output"), system)
+    return rows.select("id", said("task").alias("task"), source.alias("source"), unless_blank("category", F.lit("未分类")).alias("category"), F.lit(upstream).alias("upstream"), F.lit(license).alias("license"), conv.alias("conversations"))
+
+
+# What is added to a problem, and what stands for a solution that is missing.
+COT = " Let's think step by step and output the final answer within \\boxed{}."
+NO_SOLUTION = "No solution available."
+
+
+def from_problem(df: DataFrame, name: str, ordinal: str = "ordinal", start: int = 0, end: int | None = None) -> DataFrame:
+    """(id, conversations) of problem and solution; the id is the name and the ordinal; rows from start to before end."""
+    at = F.col(ordinal)
+    rows = df.where((at >= start) & ((at < end) if end is not None and end > 0 else F.lit(True)))
+    solution = F.coalesce(F.nullif(F.col("solution"), F.lit("")), F.lit(NO_SOLUTION))
+    return rows.select(F.concat(F.lit(f"{name}-"), at.cast("string")).alias("id"), from_qa(F.concat(F.coalesce("problem", F.lit("")), F.lit(COT)), solution).alias("conversations"))
+
+
+def system_and_question(system: str, question: Column) -> Column:
+    """The two messages of a prompt that a policy answers."""
+    said = lambda role, value: F.struct(F.lit(role).alias("role"), value.alias("content"))
+    return F.array(said("system", F.lit(system)), said("user", question))
+
+
+def exchanges(messages: Column, trailing: bool = True) -> Column:
+    """Pairs (user, assistant) of chat messages: successive users joined by newline, an assistant that does not follow a
+    user dropped; a user without an answer is paired with "" if trailing, else dropped. Null texts count as empty."""
+    content = lambda m: F.coalesce(m["content"], F.lit(""))
+    said = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
+
+    def cut(z: Column) -> Column:
+        is_user = lambda i: F.coalesce(F.get(z["said"], i)["role"] == "user", F.lit(False))
+        first = F.array_compact(F.transform(z["said"], lambda m, i: F.when(is_user(i) & ~is_user(i - 1), i)))
+        last = F.array_compact(F.transform(z["said"], lambda m, i: F.when(is_user(i) & ~is_user(i + 1), i)))
+        runs = F.arrays_zip(first.alias("first"), last.alias("last"))
+        if not trailing:
+            runs = F.filter(runs, lambda r: r["last"] < F.size(z["said"]) - 1)
+        asked = lambda r: F.array_join(F.transform(F.slice(z["said"], r["first"] + 1, r["last"] - r["first"] + 1), content), "\n")
+        return F.transform(runs, lambda r: F.struct(asked(r).alias("user"), F.coalesce(F.get(z["said"], r["last"] + 1)["content"], F.lit("")).alias("assistant")))
+
+    return F.transform(F.array(F.struct(said.alias("said"))), cut)[0]
+
+
+def preference_prompt(messages: Column) -> Column:
+    """The chat before a chosen and a rejected answer: the last system message if there is one, then the exchanges, where an
+    empty answer is left out."""
+    said = lambda role, value: F.struct(F.lit(role).alias("role"), value.alias("content"))
+    system = F.filter(messages, lambda m: (m["role"] == "system") & (F.coalesce(m["content"], F.lit("")) != ""))
+    system = F.slice(system, F.greatest(F.size(system), F.lit(1)), F.lit(1))
+    turns = F.flatten(F.transform(exchanges(messages), lambda p: F.array(said("user", p["user"]), said("assistant", p["assistant"]))))
+    return F.concat(F.transform(system, lambda m: said("system", m["content"])), F.filter(turns, lambda m: (m["role"] == "user") | (m["content"] != "")))
+
+
+def preferences(df: DataFrame, messages: str, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """Adds prompt, the messages before the two answers; rows where an answer is null go."""
+    return df.where(F.col(chosen).isNotNull() & F.col(rejected).isNotNull()).withColumn("prompt", preference_prompt(F.col(messages)))
+
+
 def from_qa(question: Column, answer: Column) -> Column:
     return F.array(message("human", question), message("gpt", answer))
 

@@ -66,6 +66,42 @@ def outcomes(df: DataFrame, task: str) -> DataFrame:
     return df.rollup(task).agg(F.count("*").alias("n"), one("win").alias("wins"), one("tie").alias("ties"), one("loss").alias("losses"), F.round(F.avg("delta"), 6).alias("mean_delta"))
 
 
+def model_sections(df: DataFrame, task: str, models: tuple[str, str] = ("baseline", "candidate")) -> DataFrame:
+    """One row per task and one over all (task null) of <model>_exact, _f1, _length_ratio and _output: means, empty outputs
+    and tag leaks of both models, the second's differences, and its wins, ties and losses in f1."""
+    a, b = models
+    d = F.col(f"{b}_f1") - F.col(f"{a}_f1")
+    of = lambda m: [
+        F.avg(f"{m}_exact").alias(f"{m}_exact"), F.avg(f"{m}_f1").alias(f"{m}_f1"), F.avg(f"{m}_length_ratio").alias(f"{m}_length_ratio"),
+        F.count_if(T.normalize_ws(F.col(f"{m}_output")) == "").alias(f"{m}_empty"), F.count_if(T.tag_leak(F.col(f"{m}_output"))).alias(f"{m}_leaks"),
+    ]
+    won = [F.count_if(d > EPSILON).alias("wins"), F.count_if(F.abs(d) <= EPSILON).alias("ties"), F.count_if(d < -EPSILON).alias("losses")]
+    means = df.rollup(task).agg(F.count("*").alias("n"), *of(a), *of(b), *won)
+    rounded = {f"{m}_{c}": F.round(f"{m}_{c}", 6) for m in models for c in ("exact", "f1", "length_ratio")}
+    return means.withColumns({f"{c}_delta": F.round(F.col(f"{b}_{c}") - F.col(f"{a}_{c}"), 6) for c in ("exact", "f1", "length_ratio")}).withColumns(rounded)
+
+
+def punctuation_means(df: DataFrame, *columns: str, preserved: str = "text_preserved") -> DataFrame:
+    """One row: the number of rows, the mean of each column and of ``preserved``, and how many texts are preserved."""
+    kept = F.coalesce(F.col(preserved).cast("int"), F.lit(0))
+    return df.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in columns], F.round(F.avg(kept), 6).alias(preserved), F.coalesce(F.sum(kept), F.lit(0)).alias(f"{preserved}_count"))
+
+
+def comparison_flags(delta: Column, candidate_flags: Column, baseline_flags: Column, margin: float = 0.05) -> Column:
+    """regression or improvement beyond the margin, then new_<flag> for each flag that only the candidate has."""
+    moved = F.array_compact(F.array(F.when(delta < -margin, "regression").when(delta > margin, "improvement")))
+    new = F.array_sort(F.array_except(candidate_flags, baseline_flags))
+    return F.concat(moved, F.transform(new, lambda x: F.concat(F.lit("new_"), x)))
+
+
+def triage_summary(df: DataFrame, task: str, baseline_flags: str, candidate_flags: str, delta: str) -> DataFrame:
+    """(task, model, flag, n): rows (model and flag 'rows'), each model's flags, and the comparison's flags."""
+    said = lambda name, c: F.transform(c, lambda x: F.struct(F.lit(name).alias("model"), x.alias("flag")))
+    versus = comparison_flags(F.col(delta), F.col(candidate_flags), F.col(baseline_flags))
+    each = F.concat(said("rows", F.array(F.lit("rows"))), said("baseline", F.col(baseline_flags)), said("candidate", F.col(candidate_flags)), said("comparison", versus))
+    return df.select(task, F.explode(each).alias("e")).groupBy(task, F.col("e.model").alias("model"), F.col("e.flag").alias("flag")).agg(F.count("*").alias("n"))
+
+
 def triage_flags(task: Column, source: Column, output: Column, reference: Column, f1: Column) -> Column:
     ratio = T.length_ratio(output, reference)
     is_p = F.coalesce(task == "punctuate", F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import metrics
 from millrace.functions import text as T
 from millrace.operators.quality import first_of_key
 
@@ -56,6 +57,41 @@ def routed(records: DataFrame, best: DataFrame, key: str) -> DataFrame:
     return j.withColumn("status", F.when(F.col("priority").isNull(), "skipped").when(F.size("auto_reasons") > 0, "approved").otherwise("manual"))
 
 
+def selected(records: DataFrame, key: str = "id") -> DataFrame:
+    """Adds to records (key, task, source_text, reference, candidate_outputs) the candidate that is worst for its reference
+    as rejected, its auto_reasons, review_flags and priority, and status: approved, manual, or skipped with a
+    selection_reason (no_candidates, all_candidates_equivalent_to_reference). Keys must be unique."""
+    told = records.select(key, "task", "source_text", T.strip(F.coalesce("reference", F.lit(""))).alias("reference"))
+    usable = distinct_candidates(records, key, "candidate_outputs").join(told, key).where(T.normalize_join(F.col("candidate")) != T.normalize_join(F.col("reference")))
+    usable = usable.withColumns({"candidate": T.strip(F.col("candidate")), "__row": F.struct(key, "pos")})
+    f1 = metrics.char_scores(usable, "__row", "candidate", "reference").select("__row", "char_f1")
+    auto, flags = candidate_reasons(F.col("task"), F.col("source_text"), F.col("candidate"), F.col("reference"))
+    rated = usable.join(f1, "__row").withColumns({"auto_reasons": auto, "review_flags": flags})
+    moved = numeric_mismatch(F.col("source_text"), F.col("candidate"), F.col("reference"))
+    rated = rated.withColumn("priority", candidate_priority(F.col("char_f1"), T.length_ratio(F.col("candidate"), F.col("reference")), moved, F.col("auto_reasons"), F.col("review_flags")))
+    best = best_candidate(rated, key).select(key, F.col("candidate").alias("rejected"), "auto_reasons", "review_flags", "priority")
+    none = F.coalesce(F.size("candidate_outputs"), F.lit(0)) <= 0
+    reason = F.when(F.col("status") == "skipped", F.when(none, "no_candidates").otherwise("all_candidates_equivalent_to_reference"))
+    return routed(records, best, key).withColumn("selection_reason", reason)
+
+
+def selection_counts(chosen: DataFrame) -> DataFrame:
+    """(name, n): approved, manual, each reason to skip, reason:<auto reason> of approved rows, review_flag:<flag> of manual ones."""
+    named = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
+    names = (
+        F.when(F.col("status") == "approved", F.concat(F.array(F.lit("approved")), named("reason:", F.col("auto_reasons"))))
+        .when(F.col("status") == "manual", F.concat(F.array(F.lit("manual")), named("review_flag:", F.col("review_flags"))))
+        .otherwise(F.array("selection_reason"))
+    )
+    return chosen.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def top_per_task(manual: DataFrame, tasks: tuple[str, ...], n: int, key: str = "id", priority: str = "priority") -> DataFrame:
+    """At most n rows of each task, the highest priority first, in the order of priority over all."""
+    w = Window.partitionBy("task").orderBy(F.col(priority).desc(), key)
+    return manual.where(F.col("task").isin(*tasks)).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn").orderBy(F.col(priority).desc(), key)
+
+
 def generation_queue(records: DataFrame, paired: DataFrame, per_task: int, task: str, key: str, seed: str) -> DataFrame:
     """Records that have no pair yet, at most per_task of each task, in hash order."""
     w = Window.partitionBy(task).orderBy(T.hash_key(seed, F.col(key).cast("string")), key)

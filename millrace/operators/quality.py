@@ -92,6 +92,12 @@ def without_flags(df: DataFrame, flags: str, removable: list[str], protected: Da
     return df.where(~F.coalesce(hit, F.lit(False)))
 
 
+def removed_by_flag(df: DataFrame, flags: str, removable: list[str]) -> DataFrame:
+    """(flag, n): how many rows each removable flag takes away; a row counts once for each of its removable flags."""
+    hit = F.array_intersect(F.col(flags), F.array(*[F.lit(x) for x in removable]))
+    return df.select(F.explode(hit).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
 def valid_conversation(conv: Column) -> Column:
     """Has turns, each with a known role and a value."""
     return F.coalesce((F.size(conv) > 0) & F.forall(conv, lambda t: t["from"].isin("system", "human", "gpt") & t["value"].isNotNull()), F.lit(False))

@@ -88,6 +88,17 @@ def finalized(records: DataFrame, flagged: DataFrame, approved: DataFrame, key:
     return records.join(gone, key, "left_anti"), records.join(gone, key, "left_semi")
 
 
+REMOVAL = "unreviewed audit risk removed by conservative V5 finalization policy"  # fixed value of the logs
+
+
+def removal_log(removed: DataFrame, audits: DataFrame, split: str, reason: str = REMOVAL) -> DataFrame:
+    """(id, task, source, split, audit_flags, removal_reason) of removed records; no flags if their audit is absent."""
+    flags = audits.select(F.col("id").alias("__aid"), "audit_flags").dropDuplicates(["__aid"])
+    j = removed.drop("audit_flags").join(flags, F.col("id") == F.col("__aid"), "left")
+    none = F.array().cast("array<string>")
+    return j.select("id", "task", "source", F.lit(split).alias("split"), F.coalesce("audit_flags", none).alias("audit_flags"), F.lit(reason).alias("removal_reason"))
+
+
 def correction_pairs(corrections: DataFrame, training: DataFrame, split: str = "train", ordinal: str = "ordinal") -> DataFrame:
     """Adds reason to corrections: the first failing rule, or accepted. An id is used up by its first success; every
     later correction of it is a duplicate, whatever else it fails. Raises (when run) if a training id repeats."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import metrics, rewards
 from millrace.functions import text as T
-from millrace.operators import convo, curriculum, evals, packing, prefs, quality, retrieval, review, sampling, templates
+from millrace.operators import convo, curriculum, evals, packing, prefs, quality, retrieval, review, sampling, templates, vocabulary
 from millrace.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,3 +619,106 @@ def template_formats(spark, d):
     turns = F.array(turn("prompt", "reference"), turn("reference", "prompt"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.md5(templates.render(n, turns)).alias("digest")) for n in templates.TEMPLATES])).alias("x")
     return q.select(each).select("x.name", "x.digest")
+
+
+def _judged(out: str, f1: str) -> str:
+    """The flags of an output of the tasks c2m and m2c, as a list."""
+    ratio = f"(length({_nows(out)}) / greatest(length({_nows('reference')}), 1)::DOUBLE)"
+    return f"""list_filter([CASE WHEN {_nows(out)} = '' THEN 'empty_output' END, CASE WHEN {_core("prompt")} <> '' AND {_core("prompt")} = {_core(out)} THEN 'source_echo' END,
+  CASE WHEN {ratio} < 0.65 THEN 'omission_risk' END, CASE WHEN {ratio} > 1.55 THEN 'over_translation_risk' END, CASE WHEN {f1} < 0.4 THEN 'low_reference_overlap' END,
+  CASE WHEN len({_num("reference")}) > 0 AND {_num(out)} <> {_num("reference")} THEN 'number_or_date_mismatch_risk' END], lambda x: x IS NOT NULL)"""
+
+
+def _both(spark, d) -> DataFrame:
+    """The pairs with both outputs' scores in f1."""
+    c = candidates(spark, d)
+    for m in ("baseline", "candidate"):
+        c = c.join(metrics.char_scores(c, "pair_id", m, "reference").select("pair_id", F.col("char_f1").alias(f"{m}_f1")), "pair_id")
+    return c
+
+
+_BOTH = f"""WITH {CANDIDATES}, {_f1("fa", "baseline", "reference")}, {_f1("fb", "candidate", "reference")},
+s AS (SELECT c.*, fa.f1 AS fa, fb.f1 AS fb, length({_nows("baseline")}) / greatest(length({_nows("reference")}), 1)::DOUBLE AS la, length({_nows("candidate")}) / greatest(length({_nows("reference")}), 1)::DOUBLE AS lb,
+  CASE WHEN {_nows("baseline")} = {_nows("reference")} THEN 1.0::DOUBLE ELSE 0 END AS ea, CASE WHEN {_nows("candidate")} = {_nows("reference")} THEN 1.0::DOUBLE ELSE 0 END AS eb FROM c JOIN fa USING (pair_id) JOIN fb USING (pair_id))"""
+
+
+def _side(m: str, x: str) -> str:
+    return f"""round(avg(e{x}), 6) AS {m}_exact, round(avg(f{x}), 6) AS {m}_f1, round(avg(l{x}), 6) AS {m}_length_ratio, count(CASE WHEN {_nows(m)} = '' THEN 1 END) AS {m}_empty,
+  count(CASE WHEN contains({m}, '<think>') OR contains({m}, '<answer>') THEN 1 END) AS {m}_leaks"""
+
+
+@query(f"""{_BOTH} SELECT task, count(*) AS n, {_side("baseline", "a")}, {_side("candidate", "b")}, round(avg(eb) - avg(ea), 6) AS exact_delta, round(avg(fb) - avg(fa), 6) AS f1_delta, round(avg(lb) - avg(la), 6) AS length_ratio_delta,
+  count(CASE WHEN fb - fa > 1e-12 THEN 1 END) AS wins, count(CASE WHEN abs(fb - fa) <= 1e-12 THEN 1 END) AS ties, count(CASE WHEN fb - fa < -1e-12 THEN 1 END) AS losses FROM s GROUP BY ROLLUP (task)""")
+def ab_sections(spark, d):
+    c, r = _both(spark, d), F.col("reference")
+    for m in ("baseline", "candidate"):
+        c = c.withColumns({f"{m}_output": F.col(m), f"{m}_exact": T.exact_match(F.col(m), r).cast("double"), f"{m}_length_ratio": T.length_ratio(F.col(m), r)})
+    return evals.model_sections(c, "task")
+
+
+@query(f"""{_BOTH}, t AS (SELECT task, fb - fa AS delta, {_judged("baseline", "fa")} AS x, {_judged("candidate", "fb")} AS y FROM s),
+u AS (SELECT task, 'rows' AS model, 'rows' AS flag FROM t UNION ALL SELECT task, 'baseline', unnest(x) FROM t UNION ALL SELECT task, 'candidate', unnest(y) FROM t
+  UNION ALL SELECT task, 'comparison', CASE WHEN delta < 0 THEN 'regression' ELSE 'improvement' END FROM t WHERE abs(delta) > 0.05 UNION ALL SELECT task, 'comparison', 'new_' || unnest(list_filter(y, lambda z: NOT list_contains(x, z))) FROM t)
+SELECT task, model, flag, count(*) AS n FROM u GROUP BY ALL""")
+def triage_summary(spark, d):
+    c = _both(spark, d)
+    flags = lambda m: evals.triage_flags(F.col("task"), F.col("prompt"), F.col(m), F.col("reference"), F.col(f"{m}_f1"))
+    c = c.withColumns({"x": flags("baseline"), "y": flags("candidate"), "delta": F.col("candidate_f1") - F.col("baseline_f1")})
+    return evals.triage_summary(c, "task", "x", "y", "delta")
+
+
+@query(f"""SELECT count(*) AS n, round(avg(boundary_f1), 6) AS boundary_f1, round(avg(position_f1), 6) AS position_f1, round(avg(kept), 6) AS text_preserved, sum(kept)::BIGINT AS text_preserved_count
+FROM ({_bounds(True)}) JOIN ({_bounds(False)}) USING (pair_id) JOIN (WITH {CANDIDATES} SELECT pair_id, CASE WHEN {_core("baseline")} = {_core("reference")} THEN 1 ELSE 0 END AS kept FROM c) USING (pair_id)""")
+def punctuation_means(spark, d):
+    c = candidates(spark, d)
+    c = c.withColumn("text_preserved", metrics.text_preserved(F.col("baseline"), F.col("reference")))
+    for typed, name in ((True, "boundary_f1"), (False, "position_f1")):
+        c = c.join(metrics.boundary_scores(c, "pair_id", "baseline", "reference", typed=typed).select("pair_id", name), "pair_id")
+    return evals.punctuation_means(c, "boundary_f1", "position_f1")
+
+
+@query(_TRIAGE + " SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM t) WHERE flag IN ('source_echo', 'omission_risk', 'low_reference_overlap') GROUP BY 1")
+def removed_by_flag(spark, d):
+    return quality.removed_by_flag(_triage(spark, d), "flags", ["source_echo", "omission_risk", "low_reference_overlap", "unknown"])
+
+
+_EXCHANGES = """s AS (SELECT *, coalesce(count(CASE WHEN role = 'assistant' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM conversations WHERE role IN ('user', 'assistant')),
+x AS (SELECT conv_id, i, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) FILTER (role = 'user') AS a, coalesce(max(text) FILTER (role = 'assistant'), '') AS b FROM s GROUP BY conv_id, i HAVING count(CASE WHEN role = 'user' THEN 1 END) > 0)"""
+
+
+@query(f"WITH {_EXCHANGES} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER AS pos, a AS user_text, b AS assistant_text FROM x")
+def convo_exchanges(spark, d):
+    c = convo.collected(table(spark, d, "conversations"))
+    return c.select("conv_id", F.posexplode(convo.exchanges(F.col("messages"))).alias("pos", "x")).select("conv_id", "pos", F.col("x.user").alias("user_text"), F.col("x.assistant").alias("assistant_text"))
+
+
+@query(f"""WITH {_EXCHANGES}, y AS (SELECT conv_id, i, 0 AS k, 'user' AS role, a AS text FROM x UNION ALL SELECT conv_id, i, 1, 'assistant', b FROM x WHERE b <> ''
+  UNION ALL SELECT conv_id, -1, 0, 'system', text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'system' AND text <> '') WHERE rn = 1)
+SELECT conv_id, md5(coalesce(string_agg(role || ':' || text, chr(1) ORDER BY i, k), '')) AS digest FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN y USING (conv_id) GROUP BY conv_id""")
+def preference_prompts(spark, d):
+    c = convo.collected(table(spark, d, "conversations")).withColumns({"chosen": F.lit("a"), "rejected": F.lit("b")})
+    said = F.transform("prompt", lambda m: F.concat_ws(":", m["role"], m["content"]))
+    return convo.preferences(c, "messages").select("conv_id", F.md5(F.array_join(said, "\x01")).alias("digest"))
+
+
+@query(f"""WITH {PAIRS} SELECT 'qa-' || pair_id AS id, md5(prompt || ' Let''s think step by step and output the final answer within \\boxed{{}}.' || chr(1) || CASE WHEN reference <> '' THEN reference ELSE 'No solution available.' END) AS digest FROM p""".replace("\\\\", "\\"))
+def problem_conversations(spark, d):
+    p = pairs(spark, d).select(F.col("pair_id").alias("ordinal"), F.col("prompt").alias("problem"), F.col("reference").alias("solution"))
+    return convo.from_problem(p, "qa").select("id", F.md5(F.array_join(F.transform("conversations", lambda m: m["value"]), "\x01")).alias("digest"))
+
+
+@query("""WITH a AS (SELECT source AS piece, min(doc_id) AS ordinal FROM documents WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT lang AS piece, min(doc_id) AS ordinal FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+c AS (SELECT piece, 0.0::DOUBLE AS score, 1 AS part, ordinal FROM b UNION ALL SELECT role, 0.0, 2, min(turn) FROM conversations GROUP BY role UNION ALL SELECT piece, 0.0, 2, ordinal FROM a)
+SELECT piece, 1.5::DOUBLE AS score, 0 AS part, ordinal::BIGINT AS ordinal FROM a UNION ALL SELECT piece, score, part, ordinal::BIGINT FROM (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY part, ordinal) AS rn FROM c WHERE piece NOT IN (SELECT piece FROM a)) WHERE rn = 1""")
+def vocabulary_union(spark, d):
+    docs, turns = table(spark, d, "documents"), table(spark, d, "conversations")
+    words = lambda c: docs.where(F.col(c).isNotNull()).select(F.col(c).alias("piece"), F.col("doc_id").alias("ordinal"))
+    base = words("source").groupBy("piece").agg(F.min("ordinal").alias("ordinal")).withColumn("score", F.lit(1.5))
+    roles = turns.select(F.col("role").alias("piece"), F.col("turn").cast("long").alias("ordinal"))
+    return vocabulary.merged(base, words("lang"), roles.unionByName(words("source")))
+
+
+@query("""SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1 ORDER BY freq DESC, word LIMIT 100""")
+def frequent_words(spark, d):
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return vocabulary.most_frequent(words.groupBy("word").agg(F.count("*").alias("freq")), 100, ordinal="word")

@@ -102,6 +102,19 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False, split: str | N
     (w.partitionBy(split) if split else w).json(path)
 
 
+def write_aligned(df: DataFrame, prompts_path: str, references_path: str, *order: str, prompt: str = "prompt", per_folder: int = 1_000_000, overwrite: bool = False) -> None:
+    """Prompts as text, one a line with its white space collapsed, and the rows as JSON: folder by folder (part=0, 1, ...)
+    line i of the one belongs to line i of the other. The rows get ordinal and input; a null id becomes eval-<ordinal>."""
+    flat = T.normalize_join(F.col(prompt))
+    rows = with_ordinal(df, *order).withColumns({"input": flat, "part": F.floor(F.col("ordinal") / per_folder)})
+    ident = F.format_string("eval-%06d", "ordinal")
+    rows = rows.withColumn("id", F.coalesce(F.col("id").cast("string"), ident) if "id" in df.columns else ident)
+    placed = rows.repartition("part").sortWithinPartitions("part", "ordinal")
+    mode = "overwrite" if overwrite else "errorifexists"
+    placed.select("part", F.col("input").alias("value")).write.mode(mode).partitionBy("part").text(prompts_path)
+    placed.drop(*([prompt] if prompt != "input" else [])).write.mode(mode).partitionBy("part").json(references_path)
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

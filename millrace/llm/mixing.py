@@ -64,6 +64,24 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return placed.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(most, F.col("weight") * F.lit(float(level)))).alias("target"))
 
 
+def _crossed(sums: DataFrame, bucket: str) -> DataFrame:
+    """Of each source the bucket in which the sum in bucket order passes rest, with what of rest falls into it."""
+    upto = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy(bucket)) - F.col("n"))
+    cut = upto.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
+    return cut.select("source", bucket, (F.col("rest") - F.col("before")).alias("rest"), "n")
+
+
+def boundary(sums: DataFrame, digits: int) -> DataFrame:
+    """(source, prefix, rest, bucket_n) of the boundary buckets of (source, rest, prefix, n).
+
+    First among sums by the first ``digits`` digits, then among the buckets of that lead alone, so that a source has at
+    most 256 rows in either window."""
+    lead = F.substring("prefix", 1, digits).alias("lead")
+    first = _crossed(sums.groupBy("source", "rest", lead).agg(F.sum("n").alias("n")), "lead").select(F.col("source").alias("s"), F.col("lead").alias("l"), "rest")
+    inside = sums.drop("rest").join(first, F.col("source").eqNullSafe(F.col("s")) & (F.substring("prefix", 1, digits) == F.col("l"))).drop("s", "l")
+    return _crossed(inside, "prefix").withColumnRenamed("n", "bucket_n")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken."""
     slim = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("h")), "mix-sizes")
@@ -77,10 +95,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         # Only the documents of the boundary bucket are summed, by the next digits of their hash.
         inside = slim.withColumn("p0", F.substring("h", 1, DIGITS * (level - 1))).alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.p0") == F.col("e.prefix")))
         sums = inside.groupBy(F.col("d.source").alias("source"), F.col("e.rest").alias("rest"), F.substring("d.h", 1, DIGITS * level).alias("prefix")).agg(F.sum("d.size").alias("n"))
-        by = Window.partitionBy("source").orderBy("prefix")
-        upto = sums.withColumn("before", F.sum("n").over(by) - F.col("n"))  # 65,536 rows a source at most
-        cut = upto.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
-        edge = cut.select("source", "prefix", (F.col("rest") - F.col("before")).alias("rest"), F.col("n").alias("bucket_n"))
+        edge = boundary(materialise(sums, f"mix-sums{level}"), DIGITS * level - DIGITS // 2)
         edge = materialise(edge, f"mix-edge{level}")
         last = edge
         edge = edge.select("source", "prefix", "rest")

@@ -29,8 +29,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with a similarity of 0.8 or more (five-word shingles), the one with the least id stays."""
-    return similar.distinct_documents(docs).select(*docs.columns)
+    """Of each component of documents whose fingerprints differ in at most two bits, or with a similarity of 0.8 or more
+    (five-word shingles), the one with the least id stays."""
+    return similar.distinct_documents(docs, tau=2).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
-"""Near-duplicate documents by similarity of their word shingles: minwise bands propose, a Hamming
-test of SimHash fingerprints and equal samples order the work, the exact similarity decides.
+"""Near-duplicate documents: by SimHash fingerprints that meet through pigeonring keys, and by similarity of
+their word shingles: minwise bands propose, a Hamming test and equal samples order the work, the exact
+similarity decides.
+
+With ``tau``, documents link first as ``simhash`` says: fingerprints of three-word shingles, repeats
+included, that differ in at most tau bits. These links stand as they are; no similarity is asked of them.
+So narrow a width misses most pairs of the similarity below, which links the rest.
 
 A Jaccard similarity of 0.8 leaves about 10 of 64 bits of two fingerprints different, too many for
 keys made of equal parts of the ring. So the keys by which documents meet are BANDS runs of ROWS
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import all_of, materialise, mix64, small_batches, unlike
-from millrace.llm.simhash import Ring, components, majority, shingled
+from millrace.llm.simhash import Ring, components, fingerprints_of, links, majority, shingled
 
 ROWS = 5
 BANDS = 20
@@ -47,6 +52,8 @@ RING = Ring(TAU, SEGMENTS)
 SLACK = 0.14
 SURE = 95
 BEST = 8
+#: Words of a shingle of the fingerprints that link by themselves, as in ``simhash``.
+RING_WORDS = 3
 _RNG = np.random.Generator(np.random.PCG64(7))
 FLIPS = _RNG.integers(0, 2**64, ROWS * BANDS, dtype=np.uint64)
 FACTORS = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,8 +76,11 @@ def _nodes_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(mix64(h), at)
 
 
-def _sampled(words: int):
-    out = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("sample", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SAMPLED = "doc_id long, k0 long, k1 long, node long, fp long, ring long, sample binary, bands array<long>"
+
+
+def _sampled(words: int, ring: bool):
+    out = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("ring", pa.int64()), ("sample", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sample(batches):
         for batch in batches:
@@ -89,7 +99,8 @@ def _sampled(words: int):
             bands = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1).view(np.int64)))
             bytes_ = np.ascontiguousarray(mixed.astype(np.uint8))
             cells = pa.array([row.tobytes() for row in bytes_], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k0", "k1")), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), cells, bands], schema=out)
+            own = pa.array(fingerprints_of(texts, RING_WORDS).view(np.int64)) if ring else pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k0", "k1")), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), own, cells, bands], schema=out)
 
     return sample
 
@@ -209,6 +220,15 @@ def candidates(nodes: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     return dealt.mapInArrow(_compared(least), "u long, v long, equal int").distinct()
 
 
+def ring_links(rows: DataFrame, tau: int) -> DataFrame:
+    """Edges (u, v) that connect the nodes of ``rows`` (node, ring) as fingerprints do that differ in at most tau bits."""
+    pairs = materialise(rows.select("node", F.col("ring").alias("fp")).distinct(), "similar-ring")
+    roots = materialise(components(links(pairs.select("fp").distinct(), tau=tau)), "similar-ring-roots")
+    placed = pairs.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("root", "u")
+    return placed.join(least, "root").where("u < node").select("u", F.col("node").alias("v")).distinct()
+
+
 def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:
     """The edges (u, v) whose shingle sets reach the similarity, as a written table."""
     need = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "least_id"), "node").select(F.col("least_id").alias("__id")).distinct()
@@ -316,46 +336,48 @@ def row_key(docs: DataFrame, *names: str) -> list:
     return [F.xxhash64(F.lit(i), *values).alias(n) for i, n in enumerate(names)]
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int | None = None) -> DataFrame:
     """One row a document: doc_id, node (of equal shingle sets), component_id (least id reachable), root (of the
     component, also where ids are null or shared) and k0, k1 (of the row)."""
     with small_batches(docs.sparkSession):
-        return _components(docs, id_col, text_col, words, similarity)
+        return _components(docs, id_col, text_col, words, similarity, tau)
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, tau: int | None) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(docs, "k0", "k1"))
-    rows = materialise(texts.mapInArrow(_sampled(words), "doc_id long, k0 long, k1 long, node long, fp long, sample binary, bands array<long>"), "similar-rows")
+    rows = materialise(texts.mapInArrow(_sampled(words, tau is not None), _SAMPLED), "similar-rows")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("fp", "sample", "bands")])
     nodes = materialise(nodes, "similar-nodes")
     edges = materialise(candidates(nodes, similarity=similarity), "similar-edges")
     ends = edges.select(F.col("u").alias("x"), F.col("v").alias("y"), "equal").unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y"), "equal"))
     best = ends.groupBy("x").agg(F.max(F.struct("equal", "y")).alias("m")).select(F.least("x", "m.y").alias("u"), F.greatest("x", "m.y").alias("v"))
     best = materialise(best.distinct(), "similar-best")
-    links = verified(best, nodes, texts, words=words, similarity=similarity)
-    roots = materialise(components(links), "similar-roots")
+    found = verified(best, nodes, texts, words=words, similarity=similarity)
+    if tau is not None:
+        found = found.unionByName(materialise(ring_links(rows, tau), "similar-ring-links"))
+    roots = materialise(components(found), "similar-roots")
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     left = edges.join(best, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
     left = materialise(left.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "similar-left")
     if not left.isEmpty():
-        links = links.unionByName(verified(left, nodes, texts, words=words, similarity=similarity))
-        roots = materialise(components(links), "similar-roots")
+        found = found.unionByName(verified(left, nodes, texts, words=words, similarity=similarity))
+        roots = materialise(components(found), "similar-roots")
     more = materialise(undecided(nodes, roots, texts, words=words, similarity=similarity), "similar-more")
     if not more.isEmpty():
-        roots = materialise(components(links.unionByName(more)), "similar-roots")
+        roots = materialise(components(found.unionByName(more)), "similar-roots")
     placed = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     comp = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialise(placed.join(comp, "root").select("node", "root", "component_id"), "similar-named")
     return rows.select("doc_id", "node", "k0", "k1").join(named.hint("merge"), "node").select("doc_id", "node", "component_id", "root", "k0", "k1")
 
 
-def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tau: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each component, that of the least id (a null id only
     where there is no other; of equal ids the least row key), whatever ids components share.
 
-    Documents link if the sets of their word shingles have a Jaccard similarity of at least
-    ``similarity`` (see the module). Documents without words have the same, empty set and link."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    Documents link if their fingerprints differ in at most ``tau`` bits (if given), or the sets of their word
+    shingles have a Jaccard similarity of at least ``similarity`` (see the module). Documents without words have the same, empty set and link."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity, tau=tau)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")).alias("m"))
     k0, k1 = unlike(docs, "__k0", "__k1")
     keep = first.select(F.col("m.k0").alias(k0), F.col("m.k1").alias(k1))

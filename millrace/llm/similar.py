@@ -221,12 +221,13 @@ def candidates(nodes: DataFrame, *, similarity: float = 0.8) -> DataFrame:
 
 
 def ring_links(rows: DataFrame, tau: int) -> DataFrame:
-    """Edges (u, v) that connect the nodes of ``rows`` (node, ring) as fingerprints do that differ in at most tau bits."""
-    pairs = materialise(rows.select("node", F.col("ring").alias("fp")).distinct(), "similar-ring")
-    roots = materialise(components(links(pairs.select("fp").distinct(), tau=tau)), "similar-ring-roots")
-    placed = pairs.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("root", "u")
-    return placed.join(least, "root").where("u < node").select("u", F.col("node").alias("v")).distinct()
+    """Edges (u, v) that connect the nodes of ``rows`` (node, ring) as fingerprints do that differ in at most tau bits,
+    as a written table."""
+    fps = materialise(rows.groupBy(F.col("ring").alias("fp")).agg(F.min("node").alias("least")), "similar-ring")
+    end = lambda c: fps.select(F.col("fp").alias(f"f{c}"), F.col("least").alias(c))
+    apart = links(fps.select("fp"), tau=tau).distinct().toDF("fu", "fv").join(end("u"), "fu").join(end("v"), "fv").select("u", "v")
+    alike = rows.select("node", F.col("ring").alias("fu")).distinct().join(end("u"), "fu").select("u", F.col("node").alias("v"))
+    return materialise(apart.unionByName(alike).where("u <> v").distinct(), "similar-ring-links")
 
 
 def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:
@@ -354,7 +355,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similar
     best = materialise(best.distinct(), "similar-best")
     found = verified(best, nodes, texts, words=words, similarity=similarity)
     if tau is not None:
-        found = found.unionByName(materialise(ring_links(rows, tau), "similar-ring-links"))
+        found = found.unionByName(ring_links(rows, tau))
     roots = materialise(components(found), "similar-roots")
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     left = edges.join(best, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +96,109 @@ def chunked(docs: DataFrame, key: str, text: str, size: int = 250, overlap: int
     return slim.mapInPandas(run, f"{key} {slim.schema[key].dataType.simpleString()}, chunk_no int, chunk string")
 
 
+def _vector_blocks(rows: int, cells: int = 1 << 18) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow: rows (id, vector) to blocks (dim, ids, body) of vectors of one length, in order of id; null vectors have dim -1."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, body = pa.concat_arrays([x for x, _ in held[dim]]), np.concatenate([x for _, x in held[dim]])
+            order = pc.sort_indices(ids)
+            held[dim] = []
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(order))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), lists, pa.array([body[order.to_numpy()].tobytes()], pa.binary())], ["dim", "ids", "body"])
+
+        for batch in batches:
+            ids, v = batch.columns
+            dims = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = v.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(np.maximum(dims, 0)) - np.maximum(dims, 0)
+            for dim in np.unique(dims).tolist():
+                at, most = np.flatnonzero(dims == dim), max(1, min(rows, cells // max(1, dim)))
+                for i in range(0, len(at), most):
+                    some = at[i : i + most]
+                    held.setdefault(dim, []).append((ids.take(pa.array(some)), values[starts[some][:, None] + np.arange(max(0, dim))]))
+                    if sum(len(x) for x, _ in held[dim]) >= most:
+                        yield block(dim)
+        for dim in held:
+            if held[dim]:
+                yield block(dim)
+
+    return pack
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component on, as SQL does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _block_scores(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded cosine of what may be among each row's k best; columns stand in order of id.
+
+    A matrix product, off by far less than 1e-7, chooses all that come within rounding of the k-th best; these are computed anew one by one."""
+    qn, cn = np.sqrt(_summed(q, q)), np.sqrt(_summed(c, c))
+    near = (q @ c.T) / np.maximum(qn[:, None] * cn, 1e-12)
+    odd = ~np.isfinite(near) & ~own
+    near[odd | own] = -np.inf
+    kth = np.partition(near, near.shape[1] - k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(q), -np.inf)
+    rows, cols = np.nonzero((near >= kth[:, None] - 2e-6) & ~own | odd)
+    score = np.empty(len(rows))
+    for i in range(0, len(rows), 1 << 14):
+        r, s = rows[i : i + (1 << 14)], cols[i : i + (1 << 14)]
+        score[i : i + (1 << 14)] = _summed(q[r], c[s]) / np.maximum(qn[r] * cn[s], 1e-12)
+    scaled = np.abs(score) * 1e6
+    whole = np.trunc(scaled)
+    score = np.copysign((whole + (scaled - whole >= 0.5)) / 1e6, score) + 0.0  # half away from zero
+    nan = np.isnan(score)
+    order = np.lexsort((cols, -np.where(nan, 0, score), ~nan, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], cols[best], score[best]
+
+
+def _block_pairs(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow: pairs of blocks to (query, row, score, group), the k best of each query in each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in range(batch.num_rows):
+                q_dim, q_ids, q_body, dim, ids, body, b = (batch.column(i)[t] for i in range(7))
+                q_ids, ids, q_dim, dim = q_ids.values, ids.values, q_dim.as_py(), dim.as_py()
+                known = q_ids.unique()
+                q_at, at = (pc.fill_null(pc.index_in(x.cast(known.type), known), -1).to_numpy(zero_copy_only=False) for x in (q_ids, ids))
+                own, same = np.zeros((len(q_ids), len(ids)), bool), np.flatnonzero(at >= 0)
+                own[:, same] = q_at[:, None] == at[same]
+                if q_dim == dim >= 0:
+                    vectors = (np.frombuffer(x.as_buffer(), np.float64).reshape(n, dim) for x, n in ((q_body, len(q_ids)), (body, len(ids))))
+                    with np.errstate(all="ignore"):
+                        r, c, score = _block_scores(*vectors, own, k)
+                    score = pa.array(score)
+                else:  # no cosine: null, as in SQL; ids decide
+                    r, c = np.nonzero(~own & (np.cumsum(~own, axis=1) <= k))
+                    score = pa.nulls(len(r), pa.float64())
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r)), ids.take(pa.array(c)), score, pa.array(np.full(len(r), b.as_py(), np.int32))], ["__q", "__c", "score", "__b"])
+
+    return run
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vector: str, k: int, blocks: int = 16) -> DataFrame:
-    """(qid, cid, score, rank): stated queries against all rows, dealt in blocks by an equi-join on the block."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col(qid).alias("__q"), F.col(vector).alias("__qv"), norm(F.col(vector)).alias("__qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
-    c = corpus.select(F.col(cid).alias("__c"), F.col(vector).alias("__cv"), norm(F.col(vector)).alias("__cn")).withColumn("__b", F.pmod(F.xxhash64("__c"), F.lit(blocks)).cast("int"))
-    scored = q.join(c, "__b").where("__q <> __c").select("__q", "__b", "__c", F.round(dot(F.col("__qv"), F.col("__cv")) / F.greatest(F.col("__qn") * F.col("__cn"), F.lit(1e-12)), 6).alias("score"))
+    """(qid, cid, score, rank): stated queries against all rows. Both go in packed blocks, dealt to groups by an equi-join;
+    each pair of blocks is one matrix product."""
+    sides = []
+    for df, key, rows in ((queries, qid, 512), (corpus, cid, 4096)):
+        v = F.col(vector).cast("array<double>")
+        slim = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.when(F.forall(v, lambda x: x.isNotNull()), v).alias("v"))
+        kind = slim.schema["id"].dataType.simpleString()
+        sides.append((slim.mapInArrow(_vector_blocks(rows), f"dim int, ids array<{kind}>, body binary"), kind))
+    (q, q_kind), (c, c_kind) = sides
+    q = q.select(F.col("dim").alias("__qd"), F.col("ids").alias("__qi"), F.col("body").alias("__qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    c = c.withColumn("__b", F.pmod(F.xxhash64("ids", "body"), F.lit(blocks)).cast("int"))
+    tiles = c.join(q.hint("shuffle_hash"), "__b").select("__qd", "__qi", "__qv", "dim", "ids", "body", "__b")
+    scored = tiles.mapInArrow(_block_pairs(k), f"__q {q_kind}, __c {c_kind}, score double, __b int")
     for part in (["__q", "__b"], ["__q"]):  # the best of each block, then of all
         scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(F.col("score").desc(), "__c"))).where(F.col("rank") <= k)
     return scored.select(F.col("__q").alias(qid), F.col("__c").alias(f"match_{cid}"), "score", "rank")

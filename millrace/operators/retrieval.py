@@ -18,6 +18,9 @@ from millrace.functions import text as T
 BLOCK_TAGS = "p|div|br|li|h[1-6]|tr|td|title|article|section|ul|ol|table|head|body"
 FINAL_MARKS = "。！？.!?…；;"
 
+#: Pairs of a query and a term up to which BM25 broadcasts them.
+FEW_TERMS = 1_000_000
+
 
 def html_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, line_no, line): text lines of HTML; scripts, styles, comments and tags go."""
@@ -205,20 +208,28 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, vecto
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, qid: str, query: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, doc_id, score): only terms of the queries are joined; lengths and document frequencies cover all."""
-    d = docs.select(doc_id, terms(F.col(text)).alias("t")).withColumn("len", F.size("t"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    """(qid, doc_id, score): only terms of the queries are joined; lengths and document frequencies cover all.
+
+    Documents are dealt by id once; where they lie, their terms are counted and their scores summed, so that neither is
+    exchanged. Queries are broadcast unless they have more than ``FEW_TERMS`` terms, each query's counted apart."""
     q = queries.select(qid, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-    tf = d.select(doc_id, "len", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    j = q.join(tf, "term").join(df, "term").join(F.broadcast(stats))  # stats is one row
+    near = F.broadcast if q.limit(FEW_TERMS + 1).count() <= FEW_TERMS else lambda x: x
+    split = lambda df: df.select(doc_id, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("t")).withColumn("len", F.size("t"))
+    # each document has the empty term once, too, which gives the number of documents and their length in the same pass
+    known = q.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    df = split(docs).select("len", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("term")).join(near(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("all"))
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(Window.partitionBy(F.lit(0)))
+    df = df.select("term", "df", of_all("df").alias("n"), (of_all("all") / of_all("df")).alias("avg")).where("term <> ''")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return j.groupBy(qid, doc_id).agg(F.sum(s).alias("score"))
+    weights = q.join(df, "term").select(qid, "term", idf.alias("idf"), "avg")
+    # explode_outer: explode would have texts split before they are dealt, too, to leave out those without terms
+    tf = split(docs.select(doc_id, text).repartition(F.col(doc_id))).select(doc_id, "len", F.explode_outer("t").alias("term")).join(near(known), "term", "left_semi").groupBy("term", doc_id, "len").agg(F.count("*").alias("tf"))
+    s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+    return tf.join(near(weights), "term").groupBy(qid, doc_id).agg(F.sum(s).alias("score"))
 
 
 def fused(dense: DataFrame, sparse: DataFrame, qid: str, doc_id: str, weights: tuple[float, float] = (0.5, 0.5), c: float = 2.0) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+import re
+
+import pytest
 
 from millrace.operators import retrieval
 
@@ -36,3 +39,25 @@ def test_cosine_topk(spark):
     assert len(got) == len(want)
     assert set(got) == want
     assert "zip_with" not in plan(found)  # blocks are multiplied, not pairs of rows one by one
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_bm25(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW_TERMS", few)  # 0: as for queries too many to broadcast
+    texts = {1: "a b b c", 2: "", 3: None, 4: "x y z B", 5: "--c--c", 6: "nothing"}
+    queries = {"q1": "A b", "q2": "c c", "q3": "", "q4": None, "q5": "absent x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(3)
+    found = retrieval.bm25(docs, spark.createDataFrame(list(queries.items()), "qid string, q string"), "doc_id", "text", "qid", "q")
+    words = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in texts.items()}
+    avg = sum(map(len, words.values())) / len(words)  # null texts are documents of length 0, as in SQL
+    want = {}
+    for q, text in queries.items():
+        for term in {*re.findall("[a-z]+", (text or "").lower())}:
+            df = sum(term in w for w in words.values())
+            for i, w in words.items():
+                if tf := w.count(term):
+                    want[q, i] = want.get((q, i), 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / avg))
+    got = {(r["qid"], r["doc_id"]): r["score"] for r in found.collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    if few:  # nothing but the texts goes by document
+        assert len(re.findall(r"Exchange hashpartitioning\(.*doc_id", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])) == 1

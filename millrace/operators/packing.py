@@ -36,15 +36,31 @@ def encoded(df: DataFrame, key: str, pairs: str, tokenize: Callable[[str], list[
     return df.select(key, pairs).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, input_ids array<int>, labels array<int>")
 
 
-def packed(df: DataFrame, group: str, order: str, tokens: str, block: int) -> DataFrame:
+def packed(df: DataFrame, group: str, order: str, tokens: str | Column, block: int) -> DataFrame:
     """(group, block_no, tokens): all tokens of a group one after another, cut into blocks; the remainder goes
-    if there is at least one whole block. Groups are the unit of packing, so keep them to a task's size."""
-    n = F.size(tokens)
-    w = Window.partitionBy(group).orderBy(order)
-    base = df.select(group, order, tokens, (F.sum(n).over(w) - n).alias("at"), F.sum(n).over(Window.partitionBy(group)).alias("total"))
-    rows = base.select(group, "total", "at", F.posexplode(tokens).alias("i", "token")).withColumn("pos", F.col("at") + F.col("i"))
-    rows = rows.withColumn("block_no", F.floor(F.col("pos") / block)).where((F.col("total") < block) | (F.col("pos") < F.floor(F.col("total") / block) * block))
-    return rows.groupBy(group, "block_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    if there is at least one whole block. Only the numbers of tokens go by group; rows meet their places by (group, order),
+    are cut where blocks end, and the slices are joined. Rows that share an order stand one after another by hash.
+    Tokens given as an expression are made after rows are dealt, which moves less."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    size = lambda t: F.coalesce(F.size(t), F.lit(0)).cast("long").alias("__n")
+    keyed = df.withColumn("__key", F.struct(F.col(group).alias("g"), F.col(order).alias("o")))
+    upto = lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    sizes = keyed.select("__key", size(tokens)).groupBy("__key").agg(F.sum("__n").alias("__n"))
+    g = Window.partitionBy("__key.g")
+    places = sizes.select("__key", upto(g.orderBy("__key.o")).alias("__at"), F.sum("__n").over(g).alias("__total"))
+    rows = keyed.repartition(F.col("__key")).select("__key", tokens.alias("__t")).select("*", size(F.col("__t")))
+    rows = rows.withColumn("__own", upto(Window.partitionBy("__key").orderBy(F.xxhash64("__t")))).join(places, "__key")
+    at, end = F.col("__at") + F.col("__own"), F.col("__at") + F.col("__own") + F.col("__n")
+
+    def piece(b: Column) -> Column:
+        start = F.greatest(b * block, at)
+        return F.struct(b.alias("block_no"), start.alias("pos"), F.slice("__t", (start - at + 1).cast("int"), (F.least((b + 1) * block, end) - start).cast("int")).alias("part"))
+
+    last = F.when(F.col("__total") < block, F.lit(0)).otherwise(F.expr(f"__total div {block} - 1"))
+    numbers = F.sequence(F.expr(f"(__at + __own) div {block}"), F.expr(f"(__at + __own + __n - 1) div {block}"))
+    pieces = rows.select(F.col("__key.g").alias(group), F.explode_outer(F.when(F.col("__n") > 0, F.transform(F.filter(numbers, lambda b: b <= last), piece))).alias("__p")).where("__p is not null")
+    lists = pieces.select(group, "__p.*").repartition(F.col(group), F.col("block_no")).groupBy(group, "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("__l"))
+    return lists.select(group, "block_no", F.flatten(F.transform("__l", lambda x: x["part"])).alias("tokens"))
 
 
 def padded(ids: Column, most: int, pad: int) -> Column:

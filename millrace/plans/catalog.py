@@ -400,9 +400,8 @@ def vector_topk(spark, d):
 p AS (SELECT source, token, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) - 1 AS pos, count(*) OVER (PARTITION BY source) AS total FROM w)
 SELECT source, (pos // 512) AS block_no, count(*) AS n, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM p WHERE total < 512 OR pos < (total // 512) * 512 GROUP BY 1, 2""")
 def pack_blocks(spark, d):
-    tokens = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
-    rows = table(spark, d, "documents").select("source", "doc_id", tokens.alias("tokens"))
-    return packing.packed(rows, "source", "doc_id", "tokens", 512).select("source", "block_no", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+    tokens = F.array_remove(F.split("text", r"[ \t\n\r]+"), "")
+    return packing.packed(table(spark, d, "documents"), "source", "doc_id", tokens, 512).select("source", "block_no", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 @query(f"""WITH {CANDIDATES} SELECT pair_id, CASE WHEN {_core("baseline")} = {_core("reference")} THEN 1.0 ELSE -1.0 END AS guard,

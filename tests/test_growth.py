@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from millrace.operators import retrieval
+from millrace.operators import packing, retrieval
 
 
 def plan(df) -> str:
@@ -61,3 +61,25 @@ def test_bm25(spark, monkeypatch, few):
     assert got == pytest.approx(want, abs=1e-12)
     if few:  # nothing but the texts goes by document
         assert len(re.findall(r"Exchange hashpartitioning\(.*doc_id", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])) == 1
+
+
+def test_packed(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g, n in (("a", 40), ("b", 3), (None, 25), ("empty", 2)):
+        all_ = []
+        for o in [None, *range(n)]:
+            t = None if o == 1 else [rng.randrange(99) for _ in range(0 if g == "empty" else rng.choice([0, 1, 2, 7, 40]) if g != "b" else 1)]
+            rows.append((g, o, t))
+            all_ += t or []
+        kept = all_ if len(all_) < 8 else all_[: len(all_) // 8 * 8]
+        want |= {(g, i // 8): kept[i : i + 8] for i in range(0, len(kept), 8)}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o int, t array<int>").repartition(4)
+    found = packing.packed(df, "g", "o", "t", 8)
+    assert {(r["g"], r["block_no"]): r["tokens"] for r in found.collect()} == want
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in shown  # slices go to their blocks, not tokens one by one
+    twins = spark.createDataFrame([("g", 1, [1, 2, 3]), ("g", 1, [1, 2, 3]), ("g", 1, [4]), ("g", 2, [5])], "g string, o int, t array<int>")
+    got = [x for r in packing.packed(twins, "g", "o", "t", 2).orderBy("block_no").collect() for x in r["tokens"]]
+    assert got in ([1, 2, 3, 1, 2, 3, 4, 5], [4, 1, 2, 3, 1, 2, 3, 5])  # an order that repeats loses no row
